@@ -32,8 +32,8 @@ STATISTICS = ("chars", "words", "word_chars", "letters", "upper", "digits", "spa
 FIT_ROWS, FOLDS, PARTS = 50_000, 5, 4
 
 
-def statistics(text: str | None) -> np.ndarray:
-    """The statistics of one whole text, in the order of STATISTICS."""
+def statistics(text: str | None, words: np.ndarray | None = None) -> np.ndarray:
+    """The statistics of one whole text, in the order of STATISTICS; ``words``: its word hashes, if known."""
     text = text or ""
     points = code_points(text)
     n = len(points)
@@ -45,7 +45,7 @@ def statistics(text: str | None) -> np.ndarray:
     folded = text.lower()
     changed = code_points(folded)
     upper = int(np.count_nonzero(changed != points)) if len(changed) == n else sum(c.isupper() for c in text)
-    words = word_hashes(text)
+    words = word_hashes(text) if words is None else words
     lines = [x for x in text.split("\n") if x.strip()]
     shouted = sum(1 for x in lines if x.upper() == x and x.lower() != x)
     m = max(len(words), 1)

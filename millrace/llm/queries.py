@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, quality
+from millrace.llm import langid, quality, syncmers, toxicity
 from millrace.llm._tables import held_out
 
 
@@ -21,6 +21,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain: junk (low quality), toxic, abusive junk (both); ``toxic`` from probability 0.5 up."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    junk = F.when(F.col("quality").isNotNull(), (F.col("quality") < 1).cast("double"))
+    labels = labels.select("doc_id", junk.alias("junk"), F.col("toxic").cast("double").alias("toxic"), F.least(junk, F.col("toxic")).alias("abusive_junk"))
+    out = toxicity.predict(docs, toxicity.fit(docs, labels, ["junk", "toxic", "abusive_junk"]))
+    return out.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -30,6 +43,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_closed_syncmers": op4_closed_syncmers,
+        "op7_toxicity_chain": op7_toxicity_chain,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
