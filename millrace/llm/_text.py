@@ -63,22 +63,36 @@ def blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash for each word (run of letters and digits, lower case), in order; none for null or empty."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    up, down = _powers()
-    table, out = char_table("word"), []
+def _word_sums(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block the running polynomial sums and the starts and ends of its words."""
+    up, _ = _powers()
+    table = char_table("word")
     for piece in blocks(text.lower()):
         points = code_points(piece)
         starts, ends = runs(table[points])
         if len(starts):
             total = np.zeros(len(points) + 1, dtype=np.uint64)
             np.cumsum((points + np.uint32(1)).astype(np.uint64) * up[: len(points)], out=total[1:])
-            out.append(mixed((total[ends] - total[starts]) * down[starts]))
+            yield total, starts, ends
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash for each word (run of letters and digits, lower case), in order; none for null or empty."""
+    down = _powers()[1]
+    out = [mixed((total[ends] - total[starts]) * down[starts]) for total, starts, ends in _word_sums(text or "")]
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def word_heads(text: str | None, lengths: range) -> np.ndarray:
+    """The set of hashes of the words' first characters, for each length in ``lengths`` that is shorter than the word."""
+    down, out = _powers()[1], []
+    for total, starts, ends in _word_sums(text or ""):
+        for n in lengths:
+            at = starts[ends - starts > n]
+            out.append(np.unique(mixed((total[at + n] - total[at]) * down[at] + np.uint64(n))))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
+
+
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     """The sorted set of hashes of k consecutive words; a shorter text has one shingle of all its words."""
     if len(words) == 0:

@@ -1,7 +1,7 @@
 """Toxicity by classifier chains.
 
-Categories are predicted one after another.  Each has a logistic model over word
-presence and document statistics; a later model also sees the probabilities of
+Categories are predicted one after another.  Each has a logistic model over the
+presence of words and word heads and document statistics; a later model also sees the probabilities of
 the categories before it.  In training those come from models that did not see
 the row (out-of-fold), in scoring from the models of the chain.
 
@@ -21,24 +21,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._tables import bounded_sample, written
-from millrace.llm._text import word_hashes
+from millrace.llm._text import word_hashes, word_heads
 from millrace.llm.quality import STATISTICS, statistics
 
 #: Labelled rows that a fit draws at most, words that the models know at most, folds of the out-of-fold predictions, and the chi-square that a word needs.
 FIT_ROWS, WORDS, FOLDS, LEAST_CHI2 = 10_000, 512, 4, 24.0
+#: Lengths of the heads of words that count as features beside the words.
+HEADS = range(3, 9)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 50, memory: int = 8) -> np.ndarray:
-    """L2-penalised logistic regression, both classes weighing the same, by L-BFGS; the last column is the intercept's."""
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of a whole text, and the set of hashes of its words and word heads."""
+    words = word_hashes(text)
+    return statistics(text, words), np.union1d(words, word_heads(text, HEADS))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 50, memory: int = 8) -> np.ndarray:
+    """L2-penalised logistic regression by L-BFGS; the last column is the intercept's."""
+    weight = np.full(len(y), 1 / len(y))
     keep = np.full(x.shape[1], penalty)
     keep[-1] = 0
 
     def at(w):
-        z = x @ w
+        z = (x @ w.astype(x.dtype)).astype(float)
         loss = weight @ (np.logaddexp(0, z) - y * z) + 0.5 * keep @ (w * w)
-        return loss, x.T @ (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)) + keep * w
+        return loss, x.T @ (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(x.dtype) + keep * w
 
     w = np.zeros(x.shape[1])
     loss, slope = at(w)
@@ -112,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
 
     def describe(batches):
         for b in batches:
-            own = [word_hashes(t) for t in b["text"]]
-            yield b[["doc_id", *categories]].assign(stats=[statistics(t, w) for t, w in zip(b["text"], own, strict=True)], words=[np.unique(w).view(np.int64) for w in own])
+            own = [features(t) for t in b["text"]]
+            yield b[["doc_id", *categories]].assign(stats=[s for s, _ in own], words=[w.view(np.int64) for _, w in own])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in categories) + ", stats array<double>, words array<long>"
     rows = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(describe, schema), "toxicity-fit")
@@ -147,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
             models.append(constant)
             done = np.hstack([done, np.full((len(x), 1), constant)])
             continue
-        full = _chained(x, done)
+        full = _chained(x, done).astype(np.float32)
         unseen = np.full(len(x), y[has].mean())
         for f in range(folds):
             train = has & (fold != f)
@@ -169,8 +176,7 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> Dat
 
     def apply(batches):
         for b in batches:
-            own = [word_hashes(t) for t in b["text"]]
-            rows = [chain.row(statistics(t, w), np.unique(w)) for t, w in zip(b["text"], own, strict=True)]
+            rows = [chain.row(*features(t)) for t in b["text"]]
             p = chain.probabilities(np.stack(rows) if rows else np.zeros((0, len(chain.mean) + len(chain.words) + 1)))
             yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(p, columns=[f"p_{c}" for c in chain.categories])], axis=1)
 
