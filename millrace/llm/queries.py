@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, quality, syncmers, toxicity
+from millrace.llm import langid, quality, secrets, syncmers, toxicity
 from millrace.llm._tables import held_out
 
 
@@ -21,6 +21,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = secrets.scan(docs, secrets.train(secrets.labelled_samples(spark, docs)))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+
+
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_secret_scan": op2_secret_scan,
         "op4_closed_syncmers": op4_closed_syncmers,
         "op7_toxicity_chain": op7_toxicity_chain,
         "op10_quality_classifier": op10_quality_classifier,
