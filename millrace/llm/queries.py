@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, quality, secrets, syncmers, toxicity
+from millrace.llm import langid, quality, secrets, syncmers, toxicity, warc
 from millrace.llm._tables import held_out
 
 
@@ -28,6 +28,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.array_sort(F.concat("base", "extra"))).alias("spans"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages")).filter(F.col("kind") == "record")
+    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_secret_scan": op2_secret_scan,
+        "op3_warc_salvage": op3_warc_salvage,
         "op4_closed_syncmers": op4_closed_syncmers,
         "op7_toxicity_chain": op7_toxicity_chain,
         "op10_quality_classifier": op10_quality_classifier,
@@ -58,4 +64,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc_salvage": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+            f AS (SELECT page_id, h, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+            SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+                   CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+            FROM f
+        """,
+    }
