@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, quality, secrets, syncmers, toxicity, warc
+from millrace.llm import langid, packing, quality, secrets, syncmers, toxicity, warc
 from millrace.llm._tables import held_out
 
 
@@ -46,6 +46,10 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_salvage": op3_warc_salvage,
         "op4_closed_syncmers": op4_closed_syncmers,
         "op7_toxicity_chain": op7_toxicity_chain,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
