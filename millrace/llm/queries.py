@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, packing, quality, secrets, syncmers, toxicity, warc
+from millrace.llm import decontaminate, langid, packing, quality, secrets, syncmers, toxicity, warc
 from millrace.llm._tables import held_out
 
 
@@ -50,6 +50,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_closed_syncmers": op4_closed_syncmers,
         "op7_toxicity_chain": op7_toxicity_chain,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
