@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard, langid, packing, quality, secrets, syncmers, toxicity, warc
+from millrace.llm import decontaminate, jaccard, langid, licenses, packing, quality, secrets, syncmers, toxicity, warc
 from millrace.llm._tables import held_out
 
 
@@ -37,6 +37,10 @@ def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.placed(table(spark, sf_dir, "documents")))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_warc_salvage": op3_warc_salvage,
         "op4_closed_syncmers": op4_closed_syncmers,
+        "op5_license_scan": op5_license_scan,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_toxicity_chain": op7_toxicity_chain,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -88,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
             FROM f
         """,
+        "op5_license_scan": licenses.oracle_sql(),
     }
