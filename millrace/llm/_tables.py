@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+KINDS = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,3 +60,32 @@ def bounded_sample(rows: DataFrame, key, bound: int) -> DataFrame:
         if share >= 1 or draw.count() <= bound:
             return draw
         share *= 0.5
+
+
+def appended(docs: DataFrame, keep: list[str], columns: str, of: Callable[[list], list]) -> DataFrame:
+    """The columns in ``keep``, untouched, and new ones (``columns``: a schema) that ``of`` makes of a list of texts."""
+    keep = list(dict.fromkeys(keep))
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"))
+    kinds = [rows.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
+    names = [x.strip().split()[0] for x in columns.split(",")]
+
+    def apply(batches):
+        for b in batches:
+            new = of(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(keep))], *[pa.array(x, type=KINDS[t]) for x, t in zip(new, types, strict=True)]], names=[*[f"k{i}" for i in range(len(keep))], *names])
+
+    types = [x.strip().split()[1] for x in columns.split(",")]
+    made = rows.mapInArrow(apply, ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], columns]))
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
+
+
+def filtered(docs: DataFrame, keep: Callable[[list], list]) -> DataFrame:
+    """The rows, all columns untouched, whose text ``keep`` marks in a list of texts."""
+
+    def apply(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), type=pa.bool_()))
+
+    at = docs.columns.index("text")
+    renamed = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
+    return renamed.mapInArrow(apply, renamed.schema).toDF(*docs.columns)

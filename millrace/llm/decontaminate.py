@@ -13,7 +13,8 @@ their answer in the window.
 
 Defined cases: null and empty texts have no window and no row; an item without
 words is never found; equal items are found each under its own id; repeated
-documents are searched each; an empty benchmark gives no rows.
+documents are searched each, those with a null id only for ``clean``; an empty
+benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._tables import filtered
 from millrace.llm._text import shingles, word_hashes
 
 #: BM25's constants, the share of an item's own score that counts, the share of question and answer trigrams, items to an index.
@@ -259,9 +261,8 @@ def clean(docs: DataFrame, items: DataFrame, reach: float = REACH, overlap: floa
     """The documents, all columns, that hold no item."""
     found = indexes(items, reach)
 
-    def apply(batches):
-        for b in batches:
-            bad = {first + t for first, words in _batches(list(b["text"])) for index in found for t, *_ in index.leaks(words, overlap)}
-            yield b[[i not in bad for i in range(len(b))]]
+    def keep(texts):
+        bad = {first + t for first, words in _batches(texts) for index in found for t, *_ in index.leaks(words, overlap)}
+        return [i not in bad for i in range(len(texts))]
 
-    return docs.mapInPandas(apply, docs.schema)
+    return filtered(docs, keep)

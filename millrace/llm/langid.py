@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import held_out
+from millrace.llm._tables import appended, held_out
 from millrace.llm._text import blocks, char_table, code_points, mixed
 
 #: Documents of each language that a fit draws at most (expected number, drawn by a hash of the id), and n-grams that the model holds at most.
@@ -157,14 +157,10 @@ def fit(docs: DataFrame, n: int = 4, fit_docs: int = FIT_DOCS, capacity: int = C
 
 def predict(docs: DataFrame, model: BloomLanguages, keep: list[str] | None = None) -> DataFrame:
     """``lang_pred`` and ``score`` of every row's whole text, beside the columns in ``keep``."""
-    keep = ["doc_id"] if keep is None else keep
-    cols = list(dict.fromkeys([*keep, "text"]))
 
-    def apply(batches):
+    def of(texts):
         fp = model.false_positive() if model.names else np.zeros(0)
-        for b in batches:
-            found = [model.decide(t, fp) for t in b["text"]]
-            yield b[keep].assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
+        found = [model.decide(t, fp) for t in texts]
+        return [[x for x, _ in found], [x for _, x in found]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in [docs.schema[c]])
-    return docs.select(*cols).mapInPandas(apply, f"{schema}, lang_pred string, score double")
+    return appended(docs, ["doc_id"] if keep is None else keep, "lang_pred string, score double", of)

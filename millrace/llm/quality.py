@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import bounded_sample, held_out, written
+from millrace.llm._tables import appended, bounded_sample, filtered, held_out, written
 from millrace.llm._text import char_table, code_points, word_hashes
 
 #: Characters that count as symbols, and as marks of ordinary sentences.
@@ -30,6 +30,8 @@ SENTENCE = ".,;:?"
 STATISTICS = ("chars", "words", "word_chars", "letters", "upper", "digits", "spaces", "symbols", "shouts", "bars", "sentence", "distinct", "doubled", "line_words", "repeated_lines", "all_caps")
 #: Labelled rows that a fit draws at most, and sums to build from them.
 FIT_ROWS, FOLDS, PARTS = 50_000, 5, 4
+#: Score from which a document is kept.
+THRESHOLD = 0.7
 
 
 def statistics(text: str | None, words: np.ndarray | None = None) -> np.ndarray:
@@ -149,18 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = 200, ridge: float = 1e-
     return QualityModel(base.mean, base.scale, base.weights, base.shift, solve(a, b), knots, levels)
 
 
-def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Every row's ``score`` (0 to 1) and ``predicted`` (1 from the threshold up) beside the columns in ``keep``."""
-    keep = ["doc_id"] if keep is None else keep
-    cols = list(dict.fromkeys([*keep, "text"]))
 
-    def apply(batches):
-        for b in batches:
-            s = model.score(_stats_of(b)) if len(b) else np.zeros(0)
-            yield b[keep].assign(score=s, predicted=(s >= threshold).astype("int32"))
+    def of(texts):
+        s = _scores(model, texts)
+        return [s, (s >= threshold).astype("int32")]
+
+    return appended(docs, ["doc_id"] if keep is None else keep, "score double, predicted int", of)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in [docs.schema[c]])
-    return docs.select(*cols).mapInPandas(apply, f"{schema}, score double, predicted int")
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that score at least the threshold."""
+    return filtered(docs, lambda texts: _scores(model, texts) >= threshold)
 
 
-__all__ = ["QualityModel", "fit", "isotonic", "score", "statistics"]
+def _scores(model: QualityModel, texts: list) -> np.ndarray:
+    return model.score(np.array([statistics(t) for t in texts])) if texts else np.zeros(0)

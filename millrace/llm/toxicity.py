@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import bounded_sample, written
+from millrace.llm._tables import appended, bounded_sample, written
 from millrace.llm._text import word_hashes, word_heads
 from millrace.llm.quality import STATISTICS, statistics
 
@@ -171,14 +171,10 @@ def _words_literal(words: np.ndarray):
 
 def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
     """A probability ``p_<category>`` for each category of every row's whole text, beside the columns in ``keep``."""
-    keep = ["doc_id"] if keep is None else keep
-    cols = list(dict.fromkeys([*keep, "text"]))
 
-    def apply(batches):
-        for b in batches:
-            rows = [chain.row(*features(t)) for t in b["text"]]
-            p = chain.probabilities(np.stack(rows) if rows else np.zeros((0, len(chain.mean) + len(chain.words) + 1)))
-            yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(p, columns=[f"p_{c}" for c in chain.categories])], axis=1)
+    def of(texts):
+        rows = [chain.row(*features(t)) for t in texts]
+        p = chain.probabilities(np.stack(rows)) if rows else np.zeros((0, len(chain.categories)))
+        return [p[:, i] for i in range(len(chain.categories))]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in [docs.schema[c]])
-    return docs.select(*cols).mapInPandas(apply, f"{schema}, " + ", ".join(f"`p_{c}` double" for c in chain.categories))
+    return appended(docs, ["doc_id"] if keep is None else keep, ", ".join(f"p_{c} double" for c in chain.categories), of)
