@@ -39,8 +39,10 @@ from millrace.llm._text import mixed, shingles, word_hashes
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.99999
 #: One byte for each random order of a sketch; share of equal bytes from which a pair is verified (over five deviations below 0.8).
 SKETCH, LIKELY = 128, 0.6
-#: Members of a bucket that is searched at once, orders sampled for a larger one, mean similarity above which it is not split, levels of splits, likely pairs to a member that leave a bucket as rows.
-BUCKET, SAMPLED, ALIKE, DEPTH, PAIRS = 1_024, 8, 0.3, 6, 8
+#: Members of a bucket that is searched at once (about a second of sketch comparisons; a split makes SAMPLED rows of each member), orders sampled for a larger one, mean similarity above which it is not split, levels of splits.
+BUCKET, SAMPLED, ALIKE, DEPTH = 4_096, 8, 0.3, 6
+#: Likely pairs to a member that leave a bucket as rows, and members to a block whose exact sets are compared at once.
+PAIRS, BLOCK_SETS = 8, 1_024
 _ORDERS = np.random.default_rng(20_240_101)
 _ODD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _ADD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
@@ -115,8 +117,11 @@ def _own_pairs(g: pd.DataFrame, keys: np.ndarray, sketch: np.ndarray, rows: slic
 
 
 def _searched(batches, least: float):
-    """Brute force inside buckets: likely pairs, or for a bucket that is full of them its members, as (kind, key, run, apart, a, b)."""
-    columns = ["kind", "key", "run", "apart", "a", "b"]
+    """Brute force inside buckets: likely pairs, or for a bucket that is full of them its members, as (blocks, key, run, apart, a, b).
+
+    ``blocks`` is 0 for a pair, else into how many blocks the bucket's exact sets are to be dealt.
+    """
+    columns = ["blocks", "key", "run", "apart", "a", "b"]
     out: list[tuple] = []
     for g in _groups(batches, ["key", "run"]):
         n = len(g)
@@ -141,9 +146,9 @@ def _searched(batches, least: float):
         total = sum(len(p) for p, _ in pairs)
         key, run, apart = int(g["key"].iloc[0]), int(g["run"].iloc[0]), list(g["apart"].iloc[0])
         if total > PAIRS * n:
-            out += [("bucket", key, run, apart, s, None) for s in sid]
+            out += [(-(-n // BLOCK_SETS), key, run, apart, s, None) for s in sid]
         else:
-            out += [("pair", key, run, [], sid[i], sid[j]) for p, q in pairs for i, j in zip(p, q, strict=True)]
+            out += [(0, key, run, [], sid[i], sid[j]) for p, q in pairs for i, j in zip(p, q, strict=True)]
         if len(out) > 5_000:
             yield pd.DataFrame(out, columns=columns)
             out = []
@@ -266,11 +271,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     for more in ready[1:]:
         search = search.unionByName(more)
     search = search.repartition("key").sortWithinPartitions("key", "run")
-    found = written(search.mapInPandas(lambda it: _searched(it, similarity), "kind string, key long, run int, apart array<int>, a binary, b binary"), "found")
-    pairs = found.filter("kind = 'pair'").select("a", "b")
-    members = found.filter("kind = 'bucket'").select("key", "run", "apart", F.col("a").alias("sid"), F.lit(1).alias("blocks"))
+    found = written(search.mapInPandas(lambda it: _searched(it, similarity), "blocks int, key long, run int, apart array<int>, a binary, b binary"), "found")
+    pairs = found.filter("blocks = 0").select("a", "b")
+    members = found.filter("blocks > 0").select("key", "run", "apart", F.col("a").alias("sid"), "blocks")
     for more in alike:
-        members = members.unionByName(more.select("key", "run", "apart", "sid", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")))
+        members = members.unionByName(more.select("key", "run", "apart", "sid", F.ceil(F.col("count") / BLOCK_SETS).cast("int").alias("blocks")))
 
     # the exact sets of what is to be verified, made again from the texts
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
