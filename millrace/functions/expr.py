@@ -149,6 +149,12 @@ def _comparison(op: str, a: Typed, b: Typed) -> Typed:
     else:
         (x, y), _ = common([a, b], op)
     plain = {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    if a.is_literal or b.is_literal:
+        # against a number, NaN (Spark's greatest) passes only "greater": one guard there, and the scan sees a plain comparison
+        v, other, rising = (y, a, op in ("<", "<=")) if a.is_literal else (x, b, op in (">", ">="))
+        if other.literal is not None and other.literal == other.literal:
+            kind = b.type if a.is_literal else a.type
+            return Typed(plain & ~F.isnan(v) if rising and is_float(kind) else plain, BOOL)
     nan = [F.isnan(v) for v, s in ((x, a), (y, b)) if is_float(s.type)]
     if not nan:
         return Typed(plain, BOOL)

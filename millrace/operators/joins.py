@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import QueryError, TypeMismatch
-from millrace.functions.scalars import as_array
 from millrace.functions.expr import compile_expr
+from millrace.functions.scalars import as_array
 from millrace.functions.types import is_float
+from millrace.operators.ordering import numbered
 from millrace.operators.windows import micros
 
 #: Rows up to which a reference table is broadcast.
@@ -102,9 +103,9 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], times
         raise QueryError("a stream join has 1 to 8 keys")
     out = []
     for df, time, order, prefix, names, tag in zip((left, right), times, orders, prefixes, zip(*keys, strict=True), "lr", strict=True):
-        number = F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in order])).cast("long") if order else F.lit(None).cast("long")
+        df = numbered(df, order, "_number") if order else df.withColumn("_number", F.lit(None).cast("long"))
         key_columns = [F.col(f"`{k}`").alias(f"_{tag}k{i}") for i, k in enumerate(names)]
-        out.append(df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns], micros(F.col(f"`{time}`"), df.schema[time].dataType).alias(f"_{tag}t"), *key_columns, number.alias(f"_{tag}n")))
+        out.append(df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns if c != "_number"], micros(F.col(f"`{time}`"), df.schema[time].dataType).alias(f"_{tag}t"), *key_columns, F.col("_number").alias(f"_{tag}n")))
     for a, b in keys:
         if left.schema[a].dataType != right.schema[b].dataType:
             raise TypeMismatch(f"stream join: {a} and {b} have different types")
@@ -176,9 +177,9 @@ def unnest(df: DataFrame, expr: dict, as_field: str = "item", ordinality: str |
     if clash := [c for c in added if c in df.columns]:
         raise QueryError(f"UNNEST: column {clash[0]} is there already")
     items, _ = as_array(compile_expr(expr, df.schema), "UNNEST")
-    number = F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in order_by])).cast("long") if order_by else F.lit(None).cast("long")
     checked = F.when(F.coalesce(F.size(items) <= max_rows, F.lit(True)), items).otherwise(F.raise_error(F.lit(f"UNNEST: more than {max_rows} elements")))
-    rows = df.withColumns({"_items": checked, "_input": number})
+    rows = numbered(df, order_by, "_input") if order_by else df.withColumn("_input", F.lit(None).cast("long"))
+    rows = rows.withColumn("_items", checked)
     rows = rows.select(*[F.col(f"`{c}`") for c in df.columns], "_input", F.posexplode("_items").alias("_pos", as_field))
     ordinal = (F.col("_pos") + 1).cast("long")
     extra = [ordinal.alias(ordinality)] if ordinality else []

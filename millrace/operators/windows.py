@@ -18,6 +18,7 @@ from millrace.functions import aggregates
 from millrace.functions.expr import compile_expr
 from millrace.functions.types import is_int, is_time
 from millrace.operators import folds
+from millrace.operators.ordering import running_max_before
 
 MAX_OVERLAP, MAX_BUFFERED = 8, 1024
 EVENT_KINDS = ("tumble_et", "hop", "sliding_et", "session_et")
@@ -179,12 +180,11 @@ def late_split(df: DataFrame, time: str, order_by: list[str], size: int, slide:
     """``df`` with a Boolean ``late``: whether all windows of a row had ended when it arrived.
 
     The watermark before a row is the largest event time so far less ``out_of_orderness``, held back by ``lateness`` and
-    never below 0; it advances with every row.  Order is total, so this is one ordered pass over the whole stream.
+    never below 0; it advances with every row.
     """
     t = micros(F.col(f"`{time}`"), df.schema[time].dataType)
-    slide = slide or size
     # the last window that covers a row ends latest
-    end = t - F.pmod(t, F.lit(slide)) + size
-    before = Window.orderBy(*[F.col(f"`{c}`") for c in order_by]).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.greatest(F.coalesce(F.max(t).over(before) - out_of_orderness, F.lit(0)), F.lit(0)) - lateness
-    return df.withColumn("late", (end <= mark) & (mark > 0))
+    end = t - F.pmod(t, F.lit(slide or size)) + size
+    rows = running_max_before(df, order_by, t, "_top")
+    mark = F.greatest(F.coalesce(F.col("_top") - out_of_orderness, F.lit(0)), F.lit(0)) - lateness
+    return rows.withColumn("late", (end <= mark) & (mark > 0)).drop("_top")
