@@ -338,6 +338,7 @@ class Silence(Fold):
     since: int | None = 0
     operator: int = 0
     generation: str = "batch"
+    registered: frozenset = frozenset()
 
     row_first = True
     ADDED = (("silence_event", "string"), ("silence_generation", "string"), ("silence_operator", "decimal(20,0)"), ("silence_episode", "decimal(20,0)"), ("silence_time", "bigint"), ("silence_last_seen", "bigint"), ("silence_never_seen", "boolean"))
@@ -346,7 +347,7 @@ class Silence(Fold):
         return T.StructType([*[schema[k] for k in self.keys], *[T.StructField(n, T._parse_datatype_string(t), True) for n, t in self.ADDED]])
 
     def start(self, key):
-        return {"key": key, "seen": None, "silent": False, "episode": 0}
+        return {"key": key, "seen": None, "silent": False, "episode": 0, "known": key in self.registered}
 
     def _event(self, state, event, at):
         return [(*state["key"], event, self.generation, self.operator, state["episode"], at, state["seen"], state["seen"] is None)]
@@ -356,7 +357,7 @@ class Silence(Fold):
         if state["silent"]:
             state.update(silent=False)
             out = self._event(state | {"seen": now}, "resumed", now)
-        state["seen"] = now
+        state.update(seen=now, known=True)
         return out
 
     def step(self, state, now, row):
@@ -366,7 +367,7 @@ class Silence(Fold):
         return self.due(state, now - 1) + self.row(state, now, row) + self.due(state, now)
 
     def deadline(self, state):
-        if state["silent"] or self.since is None:
+        if state["silent"] or self.since is None or not state["known"]:
             return None
         return max(state["seen"] or 0, self.since) + self.duration
 

@@ -142,7 +142,7 @@ def silence(df: DataFrame, keys: list[str], duration: int, order_by: list[str],
     checked_keys(df, keys)
     if duration <= 0 or (max_observation_gap is not None and duration < 2 * max_observation_gap):
         raise QueryError("silence: the duration is at least twice the observation gap")
-    fold = folds.Silence(keys=keys, duration=duration, since=since, operator=operator)
+    fold = folds.Silence(keys=keys, duration=duration, since=since, operator=operator, registered=frozenset(registered or ()))
     return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until, registered)
 
 
