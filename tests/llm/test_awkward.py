@@ -1,0 +1,69 @@
+"""Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, jaccard, langid, licenses, packing, quality, secrets, syncmers, toxicity, warc
+
+
+def runs(spark, docs, labels):
+    items = spark.createDataFrame([(1, "ban delamer corotan finisil gol. Bana dela cori fino gola."), (2, ""), (3, None)], "item_id long, text string")
+    yield "langid", lambda: langid.predict(docs, langid.fit(docs)), True
+    yield "quality", lambda: quality.score(docs, quality.fit(docs, labels)), True
+    yield "accepted", lambda: quality.accepted(docs, quality.fit(docs, labels)), False
+    yield "toxicity", lambda: toxicity.predict(docs, toxicity.fit(docs, labels, ["quality", "toxic"])), True
+    yield "secrets", lambda: secrets.scan(docs.select("doc_id", "text"), secrets.train(secrets.labelled_samples(spark, docs, random=50))), True
+    yield "syncmers", lambda: syncmers.fingerprints(docs), True
+    yield "licenses", lambda: licenses.scan(licenses.placed(docs)), True
+    yield "jaccard", lambda: jaccard.join(docs), True
+    yield "deduplicated", lambda: jaccard.deduplicated(docs), False
+    yield "packing", lambda: packing.pack(docs), None
+    yield "leaks", lambda: decontaminate.leaks(docs, items), False
+    yield "clean", lambda: decontaminate.clean(docs, items), True
+    yield "no items", lambda: decontaminate.clean(docs, items.limit(0)), True
+
+
+NAMES = ["langid", "quality", "accepted", "toxicity", "secrets", "syncmers", "licenses", "jaccard", "deduplicated", "packing", "leaks", "clean", "no items"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_awkward_rows(spark, awkward, labels, name):
+    run, same = next((f, s) for n, f, s in runs(spark, awkward, labels) if n == name)
+    rows = run().collect()
+    if same:
+        assert len(rows) == awkward.count()
+    if name == "packing":
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in awkward.collect()}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_table(spark, awkward, labels, name):
+    empty = awkward.filter(F.lit(False))
+    run = next(f for n, f, _ in runs(spark, empty, labels.filter(F.lit(False))) if n == name)
+    assert run().collect() == []
+
+
+def test_results_of_awkward_rows(spark, awkward, labels):
+    lang = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(awkward, langid.fit(awkward)).collect()]
+    assert all(p == "und" and s == 0 for d, p, s in lang if d in (1, 2, 3, 10))
+    assert all(p in ("en", "de") for d, p, s in lang if d in (4, 5, 6, 8, 9))
+    links = {}
+    for r in jaccard.join(awkward).collect():
+        links.setdefault(r["doc_id"], []).append((r["class_id"], r["n_links"]))
+    assert links[4] == [(4, 1), (4, 1)]
+    assert links[1] == [(1, 0)] and links[2] == [(2, 0)] and links[8] == [(8, 0)]
+    kept = [r["doc_id"] for r in jaccard.deduplicated(awkward).collect()]
+    assert kept.count(4) == 1 and kept.count(5) == 2 and 1 in kept
+    chars = {r["doc_id"]: r for r in syncmers.fingerprints(awkward).collect() if r["doc_id"] in (1, 2, 7)}
+    assert chars[1]["fingerprint"] == "" and chars[7]["n_chars"] == 300_000
+
+
+def test_warc_of_awkward_pages(spark):
+    big = "x" * 20_000_000
+    rows = [(1, "http://a b\r\n", None), (2, None, ""), (3, "u", "y" * 100), (4, "u", "y" * 100), (4, "u", "y" * 100), (None, "u", "y" * 100), (5, "u", "y" * 99), (6, "u", "y" * 99), (7, "u", "é" * 60), (8, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    back = warc.round_trip(pages).collect()
+    assert all(r["kind"] == "record" for r in back) and len(back) == len(rows)
+    want = [("1", "response", None, 0), ("2", "response", None, 0), ("3", "response", None, 100), ("4", "revisit", "3", 100), ("4", "revisit", "3", 100), (None, "revisit", "3", 100), ("5", "response", None, 99), ("6", "response", None, 99), ("7", "response", None, 120), ("8", "response", None, 20_000_000)]
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in back), key=str) == sorted(want, key=str)
+    assert warc.round_trip(pages.filter(F.lit(False))).collect() == []
