@@ -8,9 +8,11 @@ continues with a made-up value.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,9 +237,6 @@ def _json_get(s, pointer):
 
 def _pointed(doc: Column, pointer: Column) -> Column:
     """Pointers that differ from row to row: an Arrow UDF, the one function that has no built-in form."""
-    import json
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def look(docs: pd.Series, pointers: pd.Series) -> pd.Series:

@@ -9,37 +9,42 @@ from pyspark.sql import types as T
 from millrace.errors import QueryError
 
 CORRUPT = "_corrupt_record"
+EMPTY = "\u0001empty\u0001"
 MAX_RECORD = 64 * 1024
 CONTRACTS = ("append_only", "sealed", "immutable")
 
 
-def _policy(df: DataFrame, schema: T.StructType, on_error: str) -> DataFrame:
-    if on_error == "drop":
-        return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    if on_error == "side":
-        return df
-    if on_error != "fail":
-        raise QueryError("on_error is fail, drop or side")
-    return df
-
-
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "fail", contract: str = "sealed") -> DataFrame:
     """One JSON object on a line.  ``fail`` stops at a bad record, ``drop`` skips it, ``side`` keeps it in ``_corrupt_record``."""
     _contract(contract)
     if on_error == "fail":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    lines = spark.read.text(path)
+    if on_error == "drop":
+        return decode_json(lines, "value", schema, "drop")[0]
+    if on_error != "side":
+        raise QueryError("on_error is fail, drop or side")
     shape = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return _policy(spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path), schema, on_error)
+    return lines.select(F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "fail", header: bool = True, null_marker: str | None = None, delimiter: str = ",", multiline: bool = False, contract: str = "sealed") -> DataFrame:
     """CSV by position or header; a quoted empty field is the empty text, an unquoted one NULL."""
     _contract(contract)
+    if on_error not in ("fail", "drop", "side"):
+        raise QueryError("on_error is fail, drop or side")
     shape = schema if on_error == "fail" else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.schema(shape).options(header=header, sep=delimiter, quote='"', escape='"', multiLine=multiline, mode="FAILFAST" if on_error == "fail" else "PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=not header)
-    reader = reader.option("nullValue", null_marker) if null_marker is not None else reader.option("emptyValue", "")
-    df = reader.csv(path)
-    return df if on_error == "fail" else _policy(df, schema, on_error)
+    # the reader knows one text for NULL and one for a quoted empty field: the latter stands for itself until it is told apart
+    reader = reader.option("emptyValue", EMPTY)
+    df = (reader.option("nullValue", null_marker) if null_marker is not None else reader).csv(path)
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({c: F.when(F.col(f"`{c}`") == EMPTY, "").otherwise(F.col(f"`{c}`")) for c in texts}) if texts else df
+    if on_error == "drop":
+        # the mark is read together with every column, so that each record is parsed whole
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.select(whole.alias("r")).filter(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.`{f.name}`") for f in schema.fields])
+    return df
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
