@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.expr import select
 from millrace.operators import joins, routing, state, windows
 from millrace.plans.engine import Engine
+from millrace.plans.sql import parse
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -44,19 +45,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("t", windows.micros(F.col("ts"), df.schema["ts"].dataType)).drop("ts")
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, names: set[str]) -> Engine:
+    """An engine that knows the named streams and tables; what a query does not name is not opened."""
     e = Engine(spark)
-    ev = events(spark, sf_dir)
-    e.register_stream("events", ev, ["event_id"], "t", "t")
-    e.register_stream("readings", ev.filter("event_type in ('click', 'view')"), ["event_id"], "t", "t")
-    e.register_stream("orders", table(spark, sf_dir, "orders"), ["o_orderkey"])
-    e.register_stream("lineitem", table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
-    e.register_stream("documents", table(spark, sf_dir, "documents"), ["doc_id"])
-    e.register_stream("nations", table(spark, sf_dir, "nation"), ["n_nationkey"])
-    e.register_table("customer", table(spark, sf_dir, "customer"), ["c_custkey"])
-    e.register_table("part", table(spark, sf_dir, "part"), ["p_partkey"])
-    e.register_table("nation", table(spark, sf_dir, "nation"), ["n_nationkey"])
-    e.register_table("segments", versions(spark, sf_dir), ["seg_key"], "valid_from", "valid_to")
+    raw = lambda name: table(spark, sf_dir, name)
+    streams = {
+        "events": (lambda: events(spark, sf_dir), ["event_id"], "t"),
+        "readings": (lambda: events(spark, sf_dir).filter("event_type in ('click', 'view')"), ["event_id"], "t"),
+        "orders": (lambda: raw("orders"), ["o_orderkey"], None),
+        "lineitem": (lambda: raw("lineitem"), ["l_orderkey", "l_linenumber"], None),
+        "documents": (lambda: raw("documents"), ["doc_id"], None),
+    }
+    tables = {
+        "customer": (lambda: raw("customer"), ["c_custkey"]),
+        "part": (lambda: raw("part"), ["p_partkey"]),
+        "segments": (lambda: versions(spark, sf_dir), ["seg_key"], "valid_from", "valid_to"),
+    }
+    for name in names:
+        if name in streams:
+            of, order, time = streams[name]
+            e.register_stream(name, of(), order, time, time)
+        else:
+            of, *rest = tables[name]
+            e.register_table(name, of(), *rest)
     return e
 
 
@@ -72,7 +83,8 @@ def by_sql(name: str, text: str, oracle: str, rounded: tuple[str, ...] = (), dig
     """A query in the engine's dialect."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = engine(spark, sf_dir).sql(text)
+        q = parse(text)
+        df = engine(spark, sf_dir, {q.table} | ({q.join.table} if q.join and q.join.table else set())).sql(text)
         return df.withColumns({c: F.round(c, digits) for c in rounded}) if rounded else df
 
     query(name, oracle)(run)
@@ -262,7 +274,7 @@ def graph_filter_window(spark, sf_dir):
         {"id": 3, "kind": "window_agg", "window": {"kind": "event_time", "size_micros": DAY, "event_time_field": "t"}, "keys": ["user_id"], "aggs": [{"fn": "count", "alias": "n"}, {"fn": "max", "expr": col("value"), "alias": "hi"}], "out": [4]},
         {"id": 4, "kind": "capture_sink", "name": "out"},
     ]}
-    return engine(spark, sf_dir).graph(spec)["out"]
+    return engine(spark, sf_dir, {"events"}).graph(spec)["out"]
 
 
 # keyed state
