@@ -463,29 +463,102 @@ class Resample(Fold):
 
 
 @dataclass
-class SlidingPrefix(Fold):
-    """A window for each row over the rows already arrived in (T - size, T]; rows of the same microsecond that follow do not change it."""
+class WindowFold(Fold):
+    """Shared by windows that keep their rows: keys, two bounds, then aggregates of the kept values in order."""
 
-    size: int = 1
     aggs: list = field(default_factory=list)  # (fn, star, alias, type), one value column each
     values: list[str] = field(default_factory=list)
 
+    bounds = ("window_start", "window_end")
+
     def bind(self, names):
         super().bind(names)
         self.value_at = [names.index(v) if v else None for v in self.values]
 
     def output(self, schema):
-        return T.StructType([*[schema[k] for k in self.keys], T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType()), *[T.StructField(alias, t) for _, _, alias, t in self.aggs]])
+        return T.StructType([*[schema[k] for k in self.keys], *[T.StructField(b, T.LongType()) for b in self.bounds], *[T.StructField(alias, t) for _, _, alias, t in self.aggs]])
 
     def start(self, key):
         return {"key": key, "rows": []}
 
+    def kept(self, now, row):
+        return now, [None if i is None else row[i] for i in self.value_at]
+
+    def made(self, state, rows, start, end):
+        found = [aggregates.of_values(fn, [r[1][i] for r in rows], star) for i, (fn, star, _, _) in enumerate(self.aggs)]
+        return [(*state["key"], start, end, *found)]
+
+
+@dataclass
+class CountWindow(WindowFold):
+    """Every ``size`` rows of a key, or with ``every`` the last ``size`` rows after each ``every``."""
+
+    size: int = 1
+    every: int = 0
+
+    bounds = ("count_start", "count_end")
+
+    def row(self, state, now, row):
+        state["n"] = n = state.get("n", 0) + 1
+        state["rows"] = [*state["rows"], self.kept(now, row)][-self.size :]
+        if self.every:
+            return self.made(state, state["rows"], n - self.size, n) if n >= self.size and n % self.every == 0 else []
+        if n % self.size:
+            return []
+        rows, state["rows"] = state["rows"], []
+        return self.made(state, rows, 0, self.size)
+
+
+@dataclass
+class DelayedSliding(WindowFold):
+    """A window for each row at T over ``(T - size, T + delay]``, when the clock has passed ``T + delay``."""
+
+    size: int = 1
+    delay: int = 0
+
+    def row(self, state, now, row):
+        state["rows"].append(self.kept(now, row))
+        state.setdefault("waiting", []).append(now)
+        return []
+
+    def deadline(self, state):
+        return state["waiting"][0] + self.delay + 1 if state.get("waiting") else None
+
+    def expire(self, state, at):
+        t = state["waiting"].pop(0)
+        state["rows"] = [r for r in state["rows"] if r[0] > t - self.size]
+        return self.made(state, [r for r in state["rows"] if r[0] <= t + self.delay], t - self.size + 1, at)
+
+
+@dataclass
+class SessionWindow(WindowFold):
+    """Sessions that end ``gap`` after their last row, ``longest`` after their first at the latest."""
+
+    gap: int = 1
+    longest: int = 1
+
+    def row(self, state, now, row):
+        state["rows"].append(self.kept(now, row))
+        return []
+
+    def deadline(self, state):
+        rows = state["rows"]
+        return min(rows[-1][0] + self.gap, rows[0][0] + self.longest) if rows else None
+
+    def expire(self, state, at):
+        rows, state["rows"] = state["rows"], []
+        return self.made(state, rows, rows[0][0], at)
+
+
+@dataclass
+class SlidingPrefix(WindowFold):
+    """A window for each row over the rows already arrived in (T - size, T]; rows of the same microsecond that follow do not change it."""
+
+    size: int = 1
+
     def row(self, state, now, row):
-        kept = [r for r in state["rows"] if r[0] > now - self.size]
-        kept.append((now, [None if i is None else row[i] for i in self.value_at]))
-        state["rows"] = kept
-        made = [aggregates.of_values(fn, [r[1][i] for r in kept], star) for i, (fn, star, _, _) in enumerate(self.aggs)]
-        return [(*state["key"], now - self.size + 1, now + 1, *made)]
+        state["rows"] = [r for r in state["rows"] if r[0] > now - self.size] + [self.kept(now, row)]
+        return self.made(state, state["rows"], now - self.size + 1, now + 1)
 
 
 @dataclass

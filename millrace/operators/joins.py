@@ -62,6 +62,11 @@ def versioned_lookup(df: DataFrame, table: DataFrame, on: list[tuple[str, str]],
     return df.join(_small(right), condition, "inner" if inner else "left").drop(*[f"_k{i}" for i in range(len(on))], "_from", "_to")
 
 
+def follow_latest(batch: DataFrame, tables, name: str, on: list[tuple[str, str]], keep: list[str] | None = None, inner: bool = False) -> DataFrame:
+    """Lookup in the latest revision of a reference table, chosen anew for each micro-batch (call it in ``foreachBatch``)."""
+    return lookup(batch, tables.get(name), on, keep, inner)
+
+
 def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]], dict[tuple, dict]], added: T.StructType, on_error: str = "fail", batch_keys: int = 256, cache_keys: int = 10_000) -> DataFrame:
     """Lookup in an external store: ``fetch`` gets a list of keys and returns rows by key.
 

@@ -1,6 +1,6 @@
-"""Keyed state operators over finite tables.
+"""Keyed state operators over finite tables and streams.
 
-Where the state is the row before, or the last definite state, a window function
+On finite tables, where the state is the row before, or the last definite state, a window function
 is the whole operator and Catalyst runs it; the rest are folds.
 """
 
@@ -58,12 +58,20 @@ def _kept(df: DataFrame, emit: Column, columns: list[str]) -> DataFrame:
     return df.withColumn("_emit", emit).filter("_emit").select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _fold(df: DataFrame, fold: folds.Fold, clock: str | None, order_by: list[str], until: int | None = None, seeds: list[tuple] | None = None) -> DataFrame:
+    """The fold over a finite table, or over a stream (whose deadlines also fire without rows if it has no clock column)."""
+    if df.isStreaming:
+        from millrace.streaming.stateful import run_stream
+
+        return run_stream(df, fold, _clock(df, clock) if clock else None, order_by)
+    return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until, seeds)
+
+
 def change_detect(df: DataFrame, keys: list[str], fields: list[str], order_by: list[str], emit_first: bool = True, invalid: str = "error", ttl: int = 0, clock: str | None = None) -> DataFrame:
     """Rows in which any field differs from the key's valid row before."""
     w = _ordered(df, keys, order_by)
-    if ttl:
-        fold = folds.ChangeDetect(keys=keys, fields=fields, invalid=invalid, emit_first=emit_first, ttl=ttl)
-        return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by])
+    if ttl or df.isStreaming:
+        return _fold(df, folds.ChangeDetect(keys=keys, fields=fields, invalid=invalid, emit_first=emit_first, ttl=ttl), clock, order_by)
     rows = _valid(df, fields, invalid)
     now = F.struct(*[F.col(f"`{f}`") for f in fields])
     before = F.lag(now).over(w)
@@ -75,9 +83,8 @@ def deadband(df: DataFrame, keys: list[str], field: str, threshold: float, order
     if baseline not in ("last_input", "last_output"):
         raise QueryError("baseline is last_input or last_output")
     w = _ordered(df, keys, order_by)
-    if ttl or baseline == "last_output":
-        fold = folds.Deadband(keys=keys, fields=[field], invalid=invalid, emit_first=emit_first, ttl=ttl, threshold=threshold, relative=relative, last_output=baseline == "last_output")
-        return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by])
+    if ttl or baseline == "last_output" or df.isStreaming:
+        return _fold(df, folds.Deadband(keys=keys, fields=[field], invalid=invalid, emit_first=emit_first, ttl=ttl, threshold=threshold, relative=relative, last_output=baseline == "last_output"), clock, order_by)
     rows = _valid(df, [field], invalid)
     x = F.col(f"`{field}`").cast("double")
     before = F.lag(x).over(w)
@@ -88,8 +95,10 @@ def deadband(df: DataFrame, keys: list[str], field: str, threshold: float, order
 
 def hysteresis(df: DataFrame, keys: list[str], field: str, enter: float, exit: float, order_by: list[str], high: bool = True, emit_first: bool = True, invalid: str = "error") -> DataFrame:
     """Rows at which the latch flips; what the last value beyond a threshold said is the latch."""
-    folds.Hysteresis(keys=keys, fields=[field], enter=enter, exit=exit, high=high)  # checks the thresholds
+    fold = folds.Hysteresis(keys=keys, fields=[field], invalid=invalid, emit_first=emit_first, enter=enter, exit=exit, high=high)
     w = _ordered(df, keys, order_by)
+    if df.isStreaming:
+        return _fold(df, fold, None, order_by)
     rows = _valid(df, [field], invalid)
     x = F.col(f"`{field}`").cast("double")
     on, off = (x >= enter, x <= exit) if high else (x <= enter, x >= exit)
@@ -98,13 +107,13 @@ def hysteresis(df: DataFrame, keys: list[str], field: str, enter: float, exit: f
     return _kept(rows, F.when(before.isNull(), F.lit(emit_first)).otherwise(before != F.col("_latch")), df.columns)
 
 
-def deduplicate(df: DataFrame, keys: list[str], ttl: int, order_by: list[str], clock: str) -> DataFrame:
+def deduplicate(df: DataFrame, keys: list[str], ttl: int, order_by: list[str], clock: str | None) -> DataFrame:
     """A key's first row, and each first row at least ``ttl`` after the last one let through."""
     if ttl <= 0:
         raise QueryError("deduplicate: ttl is positive")
     if missing := [k for k in keys if k not in df.columns]:
         raise QueryError(f"unknown key {missing[0]}")
-    return folds.run(df, folds.Deduplicate(keys=keys, ttl=ttl), _clock(df, clock), [F.col(f"`{c}`") for c in order_by])
+    return _fold(df, folds.Deduplicate(keys=keys, ttl=ttl), clock, order_by)
 
 
 def _boolean(df: DataFrame, fields: list[str]) -> None:
@@ -113,41 +122,41 @@ def _boolean(df: DataFrame, fields: list[str]) -> None:
             raise QueryError(f"{f} is not Boolean")
 
 
-def hold_for(df: DataFrame, keys: list[str], field: str, duration: int, order_by: list[str], clock: str, invalid: str = "error", until: int | None = None) -> DataFrame:
+def hold_for(df: DataFrame, keys: list[str], field: str, duration: int, order_by: list[str], clock: str | None, invalid: str = "error", until: int | None = None) -> DataFrame:
     """The latest row once the Boolean field has held for ``duration``."""
     checked_keys(df, keys)
     _boolean(df, [field])
-    return folds.run(df, folds.HoldFor(keys=keys, fields=[field], invalid=invalid, duration=duration), _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until)
+    return _fold(df, folds.HoldFor(keys=keys, fields=[field], invalid=invalid, duration=duration), clock, order_by, until)
 
 
-def debounce(df: DataFrame, keys: list[str], fields: list[str], quiet: int, max_wait: int, order_by: list[str], clock: str, leading: bool = False, trailing: bool = True, reset_on_repeat: bool = True, invalid: str = "error", until: int | None = None) -> DataFrame:
+def debounce(df: DataFrame, keys: list[str], fields: list[str], quiet: int, max_wait: int, order_by: list[str], clock: str | None, leading: bool = False, trailing: bool = True, reset_on_repeat: bool = True, invalid: str = "error", until: int | None = None) -> DataFrame:
     """One or two rows for each burst."""
     checked_keys(df, keys)
     fold = folds.Debounce(keys=keys, fields=fields, invalid=invalid, quiet=quiet, max_wait=max_wait, leading=leading, trailing=trailing, reset_on_repeat=reset_on_repeat)
-    return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until)
+    return _fold(df, fold, clock, order_by, until)
 
 
-def alarm(df: DataFrame, keys: list[str], enter: str, clear: str, order_by: list[str], clock: str, activate: int = 0, resolve: int = 0, cooldown: int = 0, max_age: int = 1, invalid: str = "error", until: int | None = None, operator: int = 0) -> DataFrame:
+def alarm(df: DataFrame, keys: list[str], enter: str, clear: str, order_by: list[str], clock: str | None, activate: int = 0, resolve: int = 0, cooldown: int = 0, max_age: int = 1, invalid: str = "error", until: int | None = None, operator: int = 0) -> DataFrame:
     """Alarm events: activate, notify and resolve, with episodes and a notification cooldown."""
     checked_keys(df, keys)
     _boolean(df, [enter, clear])
     if min(activate, resolve, cooldown) < 0 or max_age <= 0:
         raise QueryError("alarm: durations are not negative, the notification's age is positive")
     fold = folds.Alarm(keys=keys, fields=[enter, clear], invalid=invalid, activate=activate, resolve=resolve, cooldown=cooldown, max_age=max_age, operator=operator)
-    return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until)
+    return _fold(df, fold, clock, order_by, until)
 
 
-def silence(df: DataFrame, keys: list[str], duration: int, order_by: list[str], clock: str, since: int | None = 0, registered: list[tuple] | None = None, until: int | None = None, max_observation_gap: int | None = None, operator: int = 0) -> DataFrame:
+def silence(df: DataFrame, keys: list[str], duration: int, order_by: list[str], clock: str | None, since: int | None = 0, registered: list[tuple] | None = None, until: int | None = None, max_observation_gap: int | None = None, operator: int = 0) -> DataFrame:
     """Keys that fall silent, and resume; registered keys may never have had a row."""
     checked_keys(df, keys)
     if duration <= 0 or (max_observation_gap is not None and duration < 2 * max_observation_gap):
         raise QueryError("silence: the duration is at least twice the observation gap")
     fold = folds.Silence(keys=keys, duration=duration, since=since, operator=operator, registered=frozenset(registered or ()))
-    return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until, registered)
+    return _fold(df, fold, clock, order_by, until, registered)
 
 
-def resample(df: DataFrame, keys: list[str], fields: list[str], period: int, order_by: list[str], clock: str, mode: str = "last", max_wait: int = 0, max_gap: int = 0, invalid: str = "error", until: int | None = None, operator: int = 0) -> DataFrame:
+def resample(df: DataFrame, keys: list[str], fields: list[str], period: int, order_by: list[str], clock: str | None, mode: str = "last", max_wait: int = 0, max_gap: int = 0, invalid: str = "error", until: int | None = None, operator: int = 0) -> DataFrame:
     """Values on every point of a grid."""
     checked_keys(df, keys)
     fold = folds.Resample(keys=keys, fields=fields, invalid=invalid, mode=mode, period=period, max_wait=max_wait, max_gap=max_gap, operator=operator)
-    return folds.run(df, fold, _clock(df, clock), [F.col(f"`{c}`") for c in order_by], until)
+    return _fold(df, fold, clock, order_by, until)

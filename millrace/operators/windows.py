@@ -91,6 +91,8 @@ def aggregate(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict]
     arrival = [F.col(f"`{c}`") for c in (order_by or [])]
     key = [F.col(f"`{k}`") for k in keys]
     kind = spec.kind
+    if df.isStreaming:
+        return _streamed(df, spec, keys, aggs, time, order_by or [])
     if kind in COUNT_KINDS:
         if not arrival:
             raise QueryError("a count window needs an arrival order")
@@ -146,16 +148,55 @@ def _counted(df: DataFrame, spec: WindowSpec, key: list[Column], aggs: list[dict
     return made.select(*key, (F.col("_n") - spec.size).alias("count_start"), F.col("_n").alias("count_end"), *names)
 
 
-def _prefix(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict], arrival: list[Column]) -> DataFrame:
+def _folded(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict]) -> tuple[list[Column], folds.WindowFold]:
+    """The value columns of the aggregates, and the fold that keeps them."""
     typed = [compile_expr(a["expr"], df.schema) if a.get("expr") else None for a in aggs]
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], "_t", *[x.col.alias(f"_v{i}") for i, x in enumerate(typed) if x], *[c.alias(f"_a{i}") for i, c in enumerate(arrival)])
-    fold = folds.SlidingPrefix(
-        keys=keys, size=spec.size, values=[f"_v{i}" if x else "" for i, x in enumerate(typed)],
-        aggs=[(a["fn"], x is None, a["alias"], aggregates.result_type(a["fn"], x.type if x else None)) for a, x in zip(aggs, typed, strict=True)],
-    )
+    shape = {
+        "keys": keys, "values": [f"_v{i}" if x else "" for i, x in enumerate(typed)],
+        "aggs": [(a["fn"], x is None, a["alias"], aggregates.result_type(a["fn"], x.type if x else None)) for a, x in zip(aggs, typed, strict=True)],
+    }
+    if spec.kind in COUNT_KINDS:
+        fold = folds.CountWindow(**shape, size=spec.size, every=spec.step)
+    elif spec.kind.startswith("session"):
+        fold = folds.SessionWindow(**shape, gap=spec.gap, longest=spec.max_duration)
+    elif spec.kind == "sliding_pt" and spec.delay == 0:
+        fold = folds.SlidingPrefix(**shape, size=spec.size)
+    else:
+        fold = folds.DelayedSliding(**shape, size=spec.size, delay=spec.delay)
+    return [x.col.alias(f"_v{i}") for i, x in enumerate(typed) if x], fold
+
+
+def _prefix(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict], arrival: list[Column]) -> DataFrame:
+    values, fold = _folded(df, spec, keys, aggs)
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], "_t", *values, *[c.alias(f"_a{i}") for i, c in enumerate(arrival)])
     return folds.run(rows, fold, F.col("_t"), [F.col(f"_a{i}") for i in range(len(arrival))])
 
 
+def _streamed(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict], time: str | None, order_by: list[str]) -> DataFrame:
+    """The same window over a stream: Spark's event-time windows where they are the same, else a fold in the state store.
+
+    Event-time tumble and hop need a watermark on ``time``; folds take their time in order within a key, and a processing
+    kind without a time column takes Spark's processing time, so that windows also end without a row.
+    """
+    from millrace.streaming.stateful import run_stream
+    from millrace.streaming.windows import aggregate_stream
+
+    if spec.kind in ("tumble_et", "hop"):
+        return aggregate_stream(df, spec, keys, aggs, time)
+    if spec.kind in ("tumble_pt", "hop_pt"):
+        grid = WindowSpec("tumble_et" if spec.kind == "tumble_pt" else "hop", size=spec.size, slide=spec.slide, max_overlap=spec.max_overlap)
+        clocked = df.withColumn("_clock", F.col(f"`{time}`") if time else F.current_timestamp()).withWatermark("_clock", "0 seconds")
+        return aggregate_stream(clocked, grid, keys, aggs, "_clock")
+    if not keys:
+        raise QueryError(f"{spec.kind} over a stream needs a key")
+    clock = micros(F.col(f"`{time}`"), df.schema[time].dataType) if time else None
+    if clock is None and spec.kind in COUNT_KINDS:
+        clock = F.lit(0).cast("long")
+    values, fold = _folded(df, spec, keys, aggs)
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], *values, *([clock.alias("_t")] if clock is not None else []), *[F.col(f"`{c}`").alias(f"_a{i}") for i, c in enumerate(order_by)])
+    return run_stream(rows, fold, F.col("_t") if clock is not None else None, [f"_a{i}" for i in range(len(order_by))])
+
+
 def _sessions(df: DataFrame, spec: WindowSpec, keys: list[str], key: list[Column], aggs: list[dict], arrival: list[Column], order: Column) -> DataFrame:
     """Gap sessions by window functions; only those that outlast ``max_duration`` are cut by a fold."""
     if not arrival:

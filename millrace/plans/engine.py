@@ -257,6 +257,24 @@ class Engine:
             raise QueryError("a finite query has one sink")
         return next(iter(sinks.values()))
 
+    def start(self, name: str, text_or_spec: str | dict, sink, checkpoint: str, trigger: dict | None = None):
+        """Run a query over live streams: ``sink(batch, batch id)`` gets every micro-batch (for a graph: by sink name).
+
+        Returns the running queries; each has its own checkpoint, from which a restart goes on.
+        """
+        if isinstance(text_or_spec, str) and not text_or_spec.lstrip().startswith("{"):
+            results, sinks = {name: self.sql(text_or_spec)}, {name: sink}
+        else:
+            results = self.graph(text_or_spec)
+            sinks = sink if isinstance(sink, dict) else dict.fromkeys(results, sink)
+        out = []
+        for key, df in results.items():
+            if not df.isStreaming:
+                raise QueryError(f"{key} reads no live stream")
+            writer = df.writeStream.queryName(f"{name}-{key}" if len(results) > 1 else name).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{key}")
+            out.append(writer.foreachBatch(sinks[key]).trigger(**(trigger or {"processingTime": "1 second"})).start())
+        return out
+
     def validate(self, text_or_spec: str | dict) -> T.StructType | dict[str, T.StructType]:
         """Bind without running: the schema of the result, or the error."""
         if isinstance(text_or_spec, str) and not text_or_spec.lstrip().startswith("{"):

@@ -72,6 +72,57 @@ def unframed(data: bytes, framing: str) -> tuple[list[str], bytes]:
     return out, data[at:]
 
 
+class Inbox:
+    """A bounded queue between a client's callbacks and a stream: brokers, sockets and listeners that push.
+
+    ``offer`` waits up to ``wait`` seconds for room, then refuses (the caller drops the record or tells its peer).
+    Records stay until the stream has committed them.
+    """
+
+    def __init__(self, capacity: int = 10_000, wait: float = 0.0):
+        self.capacity, self.wait, self.first, self.refused = capacity, wait, 0, 0
+        self.records: list[str] = []
+        self.room = threading.Condition()
+
+    def offer(self, record: str) -> bool:
+        with self.room:
+            if not self.room.wait_for(lambda: len(self.records) < self.capacity, self.wait):
+                self.refused += 1
+                return False
+            self.records.append(record)
+            return True
+
+    def fetch(self, offset: int) -> tuple[list[str], int]:
+        with self.room:
+            gone = min(max(0, offset - self.first), len(self.records))
+            del self.records[:gone]
+            self.first += gone
+            self.room.notify_all()
+            return list(self.records), self.first + len(self.records)
+
+
+def http_listener(inbox: Inbox, host: str = "127.0.0.1", port: int = 0, limit: int = 64 * 1024):
+    """An HTTP listener that puts each POSTed record into the inbox: 202, or 429 when it is full, 413 when it is too long.
+
+    Returns the server; ``server.server_port`` is its port, ``server.shutdown()`` ends it.
+    """
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            size = int(self.headers.get("Content-Length") or 0)
+            code = 413 if size > limit else 202 if inbox.offer(self.rfile.read(size).decode("utf-8", "replace")) else 429
+            self.send_response(code)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer((host, port), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
 class _Reader(SimpleDataSourceStreamReader):
     """Batches are fetched on the driver and kept until committed, so a retry reads the same records."""
 

@@ -98,6 +98,45 @@ def post(send: Callable[[list[str], str], None], template=None, batch_rows: int
     return sink
 
 
+def http_send(url: str, timeout: float = 10.0, headers: dict | None = None) -> Callable[[list[str], str], None]:
+    """For ``post``: one JSON array for each batch, its key as the idempotency header."""
+
+    def send(docs: list[str], key: str) -> None:
+        import urllib.request
+
+        body = ("[" + ",".join(docs) + "]").encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Idempotency-Key": key} | (headers or {}))
+        with urllib.request.urlopen(request, timeout=timeout):
+            pass
+
+    return send
+
+
+def tcp_send(host: str, port: int, framing: str = "lines", timeout: float = 10.0) -> Callable[[list[str], str], None]:
+    """For ``post``: documents as frames, one to a line or with four bytes of length before each."""
+    if framing not in ("lines", "length_prefixed"):
+        raise QueryError("framing is lines or length_prefixed")
+
+    def send(docs: list[str], key: str) -> None:
+        import socket
+
+        frames = [d.encode() for d in docs]
+        data = b"".join(f + b"\n" for f in frames) if framing == "lines" else b"".join(len(f).to_bytes(4, "big") + f for f in frames)
+        with socket.create_connection((host, port), timeout) as s:
+            s.sendall(data)
+
+    return send
+
+
+def table(path: str) -> Callable[[DataFrame, int], None]:
+    """A durable table for ``foreachBatch``: a batch that is delivered again replaces itself, so each counts once."""
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return sink
+
+
 def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list[str], time_column: str) -> Column:
     """Rows as InfluxDB lines: measurement, tags, fields and a time in microseconds."""
     escape = lambda c: F.regexp_replace(c.cast("string"), r"([,= ])", r"\\$1")

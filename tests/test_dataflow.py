@@ -268,3 +268,47 @@ def test_revisions(spark, tmp_path):
     assert tables.gc("t", keep={1}) == [2] and [r.number for r in tables.revisions("t")] == [1, 3]
     with pytest.raises(QueryError):
         tables.put("u", frame(("a", 1), ("a", 2)), ["k"])
+
+
+def test_pushed_records_wait_in_a_bounded_inbox():
+    import urllib.error
+    import urllib.request
+
+    inbox = connectors.Inbox(capacity=2)
+    server = connectors.http_listener(inbox, limit=50)
+    post = lambda data: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}/", data)).status
+    try:
+        assert [post(b'{"v":1}'), post(b'{"v":2}')] == [202, 202]
+        for data, code in ((b'{"v":3}', 429), (b"x" * 60, 413)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                post(data)
+            assert e.value.code == code
+        assert inbox.fetch(0) == (['{"v":1}', '{"v":2}'], 2) == inbox.fetch(0)
+        assert post(b'{"v":4}') == 202 if inbox.fetch(2) == ([], 2) else False
+        assert inbox.fetch(2) == (['{"v":4}'], 3) and inbox.refused == 1
+    finally:
+        server.shutdown()
+
+
+def test_posts_over_http_and_batches_in_a_table(spark, tmp_path):
+    inbox = connectors.Inbox()
+    server = connectors.http_listener(inbox)
+    try:
+        sinks.post(sinks.http_send(f"http://127.0.0.1:{server.server_port}/"), batch_rows=3)(spark.range(4).coalesce(1).toDF("v"), 1)
+    finally:
+        server.shutdown()
+    assert sorted(inbox.records) == ['[{"v":0},{"v":1},{"v":2}]', '[{"v":3}]']
+    keep = sinks.table(f"{tmp_path}/t")
+    for batch in (0, 1, 1):
+        keep(spark.range(3), batch)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 6
+
+
+def test_a_lookup_follows_the_latest_revision(spark, tmp_path):
+    tables = ReferenceTables(spark, f"file://{tmp_path}/tables")
+    tables.put("t", spark.createDataFrame([("a", 1)], "k string, v long"), ["k"])
+    batch = spark.createDataFrame([("a",)], "k string")
+    look = lambda: joins.follow_latest(batch, tables, "t", [("k", "k")]).first()["v"]
+    assert look() == 1
+    tables.mutate("t", 1, upserts=spark.createDataFrame([("a", 2)], "k string, v long"))
+    assert look() == 2
