@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import written
+from millrace.llm._tables import discarded, written
 from millrace.llm._text import mixed, shingles, word_hashes
 
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.99999
@@ -225,13 +225,16 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         near = ends.join(labels.select(F.col("sid").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["sid"] == near["a"]).select("sid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step, "labels")
+        before, step = labels, written(step, "steps")
         # the label's own label
         to = step.select(F.col("sid").alias("to"), F.col("label").alias("far"))
         new = written(step.join(to, F.col("label.sid") == F.col("to")).select("sid", "old", F.least("label", "far").alias("label")), "labels")
+        discarded(before, step)
         if new.filter(F.col("old") != F.col("label")).isEmpty():
+            discarded(ends)
             return new.select("sid", F.col("label.rep").alias("class_id"))
         labels = new.select("sid", "label")
+        labels._written_to = new._written_to
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -252,6 +255,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     counts = met.groupBy("key", "run").count().filter(F.col("count") > 1)
     met = met.join(counts, ["key", "run"]).join(nodes.select("sid", "keys", "sketch", "size"), "sid").withColumn("apart", F.array().cast("array<int>"))
     level = written(met.select(*kept, "count"), "buckets")
+    spent = [level]
     ready, alike, depth = [level.filter(F.col("count") <= BUCKET).select(*kept)], [], 0
     large = level.filter(F.col("count") > BUCKET)
     while not large.isEmpty():
@@ -264,6 +268,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
         go = children.join(spread.filter(~F.col("stop")).select("parent", "run"), ["parent", "run"])
         child_sizes = sizes.groupBy("key", "run").agg(F.sum("count").alias("count"))
         level = written(go.join(child_sizes, ["key", "run"]).filter(F.col("count") > 1).select(*kept, "count"), "buckets")
+        discarded(children)
+        spent += [level, spread]
         ready.append(level.filter(F.col("count") <= BUCKET).select(*kept))
         large, depth = level.filter(F.col("count") > BUCKET), depth + 1
 
@@ -288,7 +294,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
             yield pd.DataFrame({"sid": b["sid"], "tokens": tokens})
 
     sets = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.withColumnsRenamed({"rep": "_rep", "text_hash": "_hash"}), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("text_hash") == F.col("_hash"))).select("sid", "text")
-    sets = written(sets.mapInPandas(tokens_of, "sid binary, tokens array<long>"), "sets").dropDuplicates(["sid"])
+    made = written(sets.mapInPandas(tokens_of, "sid binary, tokens array<long>"), "sets")
+    sets = made.dropDuplicates(["sid"])
     copies = nodes.select("sid", "copies")
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -301,6 +308,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     blocks = blocks.select("key", "run", "apart", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     blocks = blocks.join(nodes.select("sid", "keys", "sketch", "copies"), "sid").join(sets, "sid").repartition("key", "run", "i", "j").sortWithinPartitions("key", "run", "i", "j")
     stars = written(blocks.mapInPandas(lambda it: _verified_buckets(it, similarity), "a binary, b binary, links long"), "stars")
+    # links and stars hold all that follows
+    discarded(found, made, *spent)
     counted = counted.unionByName(stars.select(F.col("a").alias("sid"), "links")).groupBy("sid").agg(F.sum("links").alias("links"))
     classes = _components(links.unionByName(stars.select("a", "b")), nodes.select("sid", "rep"))
 
