@@ -175,7 +175,7 @@ by_sql("tumble_processing", f"SELECT window_start, {AGGS} FROM events GROUP BY T
 by_sql("hop_aggs", f"SELECT user_id, window_start, {AGGS} FROM events GROUP BY user_id, HOP(t, INTERVAL '12' HOUR, INTERVAL '48' HOUR)", f"SELECT user_id, s0 AS window_start, {ORACLE_AGGS} FROM (SELECT *, unnest([t // {12 * HOUR} * {12 * HOUR} - i * {12 * HOUR} FOR i IN range(4)]) AS s0 FROM ({EV})) GROUP BY ALL", ROUND)
 by_sql("hop_processing", "SELECT event_type, window_end, COUNT(*) AS n FROM events GROUP BY event_type, HOP(PROCESSING_TIME, INTERVAL '24' HOUR, INTERVAL '72' HOUR)", f"SELECT event_type, s0 + {3 * DAY} AS window_end, count(*) AS n FROM (SELECT *, unnest([t // {DAY} * {DAY} - i * {DAY} FOR i IN range(3)]) AS s0 FROM ({EV})) GROUP BY ALL")
 by_sql("extended_stats", "SELECT event_type, window_start, VAR_POP(value) AS vp, VAR_SAMP(value) AS vs, STDDEV_POP(value) AS sp, STDDEV_SAMP(value) AS ss FROM events GROUP BY event_type, TUMBLE(t, INTERVAL '24' HOUR)", f"SELECT event_type, t // {DAY} * {DAY} AS window_start, round(var_pop(value), 6) AS vp, round(var_samp(value), 6) AS vs, round(stddev_pop(value), 6) AS sp, round(stddev_samp(value), 6) AS ss FROM ({EV}) GROUP BY ALL", ("vp", "vs", "sp", "ss"))
-by_sql("count_tumble", f"SELECT user_id, count_start, count_end, {AGGS} FROM events GROUP BY user_id, COUNT_WINDOW(8)", f"SELECT user_id, 0 AS count_start, 8 AS count_end, {ORACLE_AGGS} FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS g FROM ({EV})) GROUP BY user_id, g HAVING count(*) = 8", ROUND)
+by_sql("count_tumble", f"SELECT user_id, count_start, count_end, {AGGS} FROM events GROUP BY user_id, COUNT_WINDOW(8)", f"SELECT user_id, 0::BIGINT AS count_start, 8::BIGINT AS count_end, {ORACLE_AGGS} FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS g FROM ({EV})) GROUP BY user_id, g HAVING count(*) = 8", ROUND)
 by_sql("count_sliding", "SELECT user_id, count_start, count_end, COUNT(*) AS n, SUM(value) AS s, AVG(value) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, COUNT_WINDOW(5, 2)", f"SELECT user_id, rn - 5 AS count_start, rn AS count_end, n, s, a, lo, hi FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {FRAME} FROM ({EV}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE rn >= 5 AND rn % 2 = 0", ROUND)
 by_sql("sliding_et", "SELECT user_id, window_start, window_end, COUNT(*) AS n, SUM(value) AS s, AVG(value) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, SLIDING(t, INTERVAL '24' HOUR)", f"SELECT user_id, t - {DAY} + 1 AS window_start, t + 1 AS window_end, {FRAME} FROM ({EV}) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)", ROUND)
 by_sql("sliding_et_delay", "SELECT user_id, window_start, window_end, COUNT(*) AS n, SUM(value) AS s, AVG(value) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, SLIDING(t, INTERVAL '24' HOUR, INTERVAL '6' HOUR)", f"SELECT user_id, t - {DAY} + 1 AS window_start, t + {6 * HOUR} + 1 AS window_end, {FRAME} FROM ({EV}) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND {6 * HOUR} FOLLOWING)", ROUND)
@@ -226,10 +226,10 @@ by_sql("window_join_left", "SELECT a.event_id AS x, b.event_id AS y, join_time F
 by_sql("unnest_ordinality", "SELECT d.doc_id, u.item, u.ord, unnest_input FROM documents d CROSS JOIN UNNEST(SPLIT(d.source, 'r')) WITH ORDINALITY AS u(item, ord)", "SELECT doc_id, unnest(string_split(source, 'r')) AS item, unnest(range(1, len(string_split(source, 'r')) + 1)) AS ord, n AS unnest_input FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
 
 
-@query("unnest_embeddings", "SELECT vec_id, round(unnest(embedding), 5) + 0.0 AS item, unnest(range(1, len(embedding) + 1)) AS unnest_ordinal FROM embeddings")
+@query("unnest_embeddings", "SELECT vec_id, round(unnest(embedding)::DOUBLE, 5) + 0.0 AS item, unnest(range(1, len(embedding) + 1)) AS unnest_ordinal FROM embeddings")
 def unnest_embeddings(spark, sf_dir):
     out = joins.unnest(table(spark, sf_dir, "embeddings"), col("embedding"), max_rows=4096)
-    return out.select("vec_id", (F.round(F.col("item"), 5) + 0.0).alias("item"), "unnest_ordinal")
+    return out.select("vec_id", (F.round(F.col("item").cast("double"), 5) + 0.0).alias("item"), "unnest_ordinal")
 
 
 @query("external_lookup", "SELECT event_id, user_id, user_id * 10 AS score, 'u' || user_id AS label FROM events")
