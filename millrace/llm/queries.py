@@ -46,12 +46,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chain: junk (low quality), toxic, abusive junk (both); ``toxic`` from probability 0.5 up."""
+    """Chain: junk (low quality), toxic, abusive junk (both); ``toxic`` from the threshold of best out-of-fold F1 up."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     junk = F.when(F.col("quality").isNotNull(), (F.col("quality") < 1).cast("double"))
     labels = labels.select("doc_id", junk.alias("junk"), F.col("toxic").cast("double").alias("toxic"), F.least(junk, F.col("toxic")).alias("abusive_junk"))
-    out = toxicity.predict(docs, toxicity.fit(docs, labels, ["junk", "toxic", "abusive_junk"]))
-    return out.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+    chain = toxicity.fit(docs, labels, ["junk", "toxic", "abusive_junk"])
+    return toxicity.predict(docs, chain).withColumn("toxic", (F.col("p_toxic") >= chain.thresholds[1]).cast("int"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

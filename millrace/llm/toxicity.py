@@ -77,6 +77,17 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 5
     return w
 
 
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which a row counts as positive: of best F1 on out-of-fold predictions, midway to the next one below."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order] > 0)
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + max(hits[-1], 1))
+    f1[:-1][p[:-1] == p[1:]] = -1  # equal probabilities stay together
+    at = int(np.argmax(f1))
+    below = p[at + 1] if at + 1 < len(p) else 0.0
+    return float(np.clip(np.sqrt(p[at] * max(below, 1e-6)), 0.05, 0.95))
+
+
 @dataclass(frozen=True)
 class Chain:
     categories: tuple[str, ...]
@@ -84,6 +95,7 @@ class Chain:
     mean: np.ndarray
     scale: np.ndarray
     models: tuple[np.ndarray | float, ...]  # a float: a constant probability
+    thresholds: tuple[float, ...] = ()
 
     def row(self, stats: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Dense features: standardised statistics, word presence, the intercept's 1 (probabilities are put in before it)."""
@@ -127,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
     totals = rows.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"p_{c}") for c in categories]).first()
     n, d = totals["n"], len(STATISTICS)
     if not n:
-        return Chain(tuple(categories), np.empty(0, dtype=np.uint64), np.zeros(d), np.ones(d), (0.0,) * len(categories))
+        return Chain(tuple(categories), np.empty(0, dtype=np.uint64), np.zeros(d), np.ones(d), (0.0,) * len(categories), (0.5,) * len(categories))
     # chi-square of word presence against each category, over the drawn rows
     seen = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(*[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"p_{c}") for c in categories])
 
@@ -144,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
     stats = np.stack(local["stats"])
     base = Chain(tuple(categories), chosen, stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6), ())
     x = np.stack([base.row(s, np.asarray(w, dtype=np.int64).view(np.uint64)) for s, w in zip(stats, local["words"], strict=True)])
-    fold, done, models = local["fold"].to_numpy(), np.zeros((len(x), 0)), []
+    fold, done, models, cuts = local["fold"].to_numpy(), np.zeros((len(x), 0)), [], []
     for c in categories:
         y = local[c].to_numpy(dtype=float)
         has = ~np.isnan(y)
@@ -152,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
         if not mixed:
             constant = float(y[has].mean()) if has.any() else 0.0
             models.append(constant)
+            cuts.append(0.5)
             done = np.hstack([done, np.full((len(x), 1), constant)])
             continue
         full = _chained(x, done).astype(np.float32)
@@ -161,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
             if train.any() and 0 < y[train].mean() < 1:
                 unseen[fold == f] = 1 / (1 + np.exp(-np.clip(full[fold == f] @ logistic(full[train], y[train]), -30, 30)))
         models.append(logistic(full[has], y[has]))
+        cuts.append(threshold(unseen[has], y[has]))
         done = np.hstack([done, unseen[:, None]])
-    return Chain(tuple(categories), chosen, base.mean, base.scale, tuple(models))
+    return Chain(tuple(categories), chosen, base.mean, base.scale, tuple(models), tuple(cuts))
 
 
 def _words_literal(words: np.ndarray):

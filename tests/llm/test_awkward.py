@@ -67,3 +67,18 @@ def test_warc_of_awkward_pages(spark):
     want = [("1", "response", None, 0), ("2", "response", None, 0), ("3", "response", None, 100), ("4", "revisit", "3", 100), ("4", "revisit", "3", 100), (None, "revisit", "3", 100), ("5", "response", None, 99), ("6", "response", None, 99), ("7", "response", None, 120), ("8", "response", None, 20_000_000)]
     assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in back), key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.filter(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_awkward_rows(spark, awkward, sf, empty):
+    import corpus_pipeline
+
+    docs = awkward.filter(F.lit(False)) if empty else awkward
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert bool(rows) != empty or name == "quality classifier"
+        if name != "best-fit packing":
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        if name in ("benchmark decontamination", "secret scans"):
+            assert len(rows) == docs.count()

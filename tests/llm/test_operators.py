@@ -425,3 +425,16 @@ def test_pipeline_stages(spark, sf):
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
         before = after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_toxic_threshold_is_that_of_best_f1():
+    p = np.array([0.9, 0.8, 0.7, 0.2, 0.1])
+    assert 0.2 < toxicity.threshold(p, np.array([1, 1, 1, 0, 0])) < 0.7
+    assert toxicity.threshold(np.array([0.4, 0.4, 0.4]), np.array([1, 0, 0])) < 0.4
+
+
+def test_toxic_documents_are_caught(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    rows = queries.op7_toxicity_chain(spark, sf).select("doc_id", F.col("toxic").alias("found")).join(table(spark, sf, "labels"), "doc_id").collect()
+    hits = sum(r["found"] and r["toxic"] for r in rows)
+    assert hits >= 0.7 * sum(r["toxic"] for r in rows) and sum(r["found"] for r in rows) - hits <= 0.02 * len(rows)
