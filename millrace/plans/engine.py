@@ -22,6 +22,7 @@ from millrace.functions.expr import compile_expr, predicate, select
 from millrace.functions.scalars import REGISTRY
 from millrace.operators import joins, windows
 from millrace.plans import sql as front
+from millrace.sources import formats
 
 MAX_INPUTS, MAX_STAGES = 4, 32
 
@@ -35,6 +36,7 @@ class Stream:
     event_time: str | None = None
     clock: str | None = None
     out_of_orderness: int = 0
+    undecoded: DataFrame | None = None  # (record, reason) of what did not decode
 
 
 @dataclass
@@ -62,6 +64,12 @@ class Engine:
                 raise QueryError(f"stream {name}: unknown column {c}")
         self.streams[name] = Stream(df, order_by or [], event_time, clock, out_of_orderness)
 
+    def register_records(self, name: str, df: DataFrame, column: str, schema: T.StructType, order_by: list[str] | None = None, event_time: str | None = None, clock: str | None = None) -> None:
+        """A stream of JSON text records: decoded rows by schema; the others leave by a source's ``decode_error`` output."""
+        good, bad = formats.decode_json(df, column, schema, "side")
+        self.register_stream(name, good, order_by, event_time, clock)
+        self.streams[name].undecoded = bad
+
     def register_table(self, name: str, df: DataFrame, keys: list[str], valid_from: str | None = None, valid_to: str | None = None, revision: int = 1) -> None:
         for c in [*keys, *[x for x in (valid_from, valid_to) if x]]:
             if c not in df.columns:

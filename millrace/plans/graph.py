@@ -93,6 +93,7 @@ def bind(engine, spec: dict) -> Bound:
             raise QueryError(f"node {node['id']} is there twice")
         nodes[node["id"]] = node
     shapes = {t["name"]: declared([(f["name"], f["type"], f.get("nullable", True)) for f in t["fields"]]) for t in spec.get("catalog", [])}
+    _lossy_edges(nodes)
     arrives: dict[int, list[tuple[int, Port]]] = {n: [] for n in nodes}
     bound = Bound()
     for n in ordered(nodes):
@@ -116,6 +117,19 @@ def bind(engine, spec: dict) -> Bound:
     return bound
 
 
+def _lossy_edges(nodes: dict[int, dict]) -> None:
+    """A best-effort edge must not feed what needs every row; a best-effort sink stands behind nothing else."""
+    required = {"union_all", "interval_join", "window_join", "capture_sink"}
+    for n, node in nodes.items():
+        lossy = set(node.get("best_effort", []))
+        for to in ends(node):
+            kind = nodes[to]["kind"] if to in nodes else None
+            if to in lossy and kind in required:
+                raise QueryError(f"node {n}: a best-effort edge may not lead to {kind}")
+            if kind == "best_effort_sink" and to not in lossy and (node.get("side_output") or {}).get("to") != to:
+                raise QueryError(f"node {n}: a best-effort sink stands behind a best-effort edge")
+
+
 def _arity(node: dict, inputs: list[Port]) -> None:
     kind, n = node["kind"], node["id"]
     need = {"memory_source": (0, 0), "union_all": (2, 16), "interval_join": (2, 2), "window_join": (2, 2)}.get(kind, (1, 1))
@@ -150,7 +164,13 @@ def _node(engine, node: dict, inputs: list[Port], shapes: dict) -> dict[int, Por
             if [(f.name, f.dataType) for f in stream.df.schema.fields] != want:
                 raise QueryError(f"stream {node['table']} does not have the declared schema")
         time = node.get("event_time_field") or stream.event_time
-        return dict.fromkeys(out, Port(stream.df, stream.order_by, time, stream.clock, node["table"]))
+        found = dict.fromkeys(out, Port(stream.df, stream.order_by, time, stream.clock, node["table"]))
+        if side := node.get("side_output"):
+            only("side_output", side, {"kind", "to", "full"})
+            if side["kind"] != "decode_error" or stream.undecoded is None:
+                raise QueryError("a source of decoded records has the side output decode_error")
+            found[side["to"]] = Port(stream.undecoded, [], None, None, node["table"])
+        return found
     if kind == "filter":
         if node.get("predicate") is None:
             raise QueryError(f"node {node['id']}: filter needs a predicate")

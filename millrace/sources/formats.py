@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,12 @@ MAX_RECORD = 64 * 1024
 CONTRACTS = ("append_only", "sealed", "immutable")
 
 
+def from_rows(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """A finite input from JSON rows (texts or dicts), strict: a row that does not decode is an error."""
+    texts = [(r if isinstance(r, str) else json.dumps(r),) for r in rows]
+    return decode_json(spark.createDataFrame(texts, "r string"), "r", schema)[0]
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "fail", contract: str = "sealed") -> DataFrame:
     """One JSON object on a line.  ``fail`` stops at a bad record, ``drop`` skips it, ``side`` keeps it in ``_corrupt_record``."""
     _contract(contract)

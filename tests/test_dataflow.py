@@ -38,7 +38,7 @@ def engine(spark):
 
 def test_routes_unions_and_rejects(engine):
     case = lambda n, to: {"predicate": {"k": "bin", "op": "eq", "left": COL, "right": {"k": "lit", "value": {"t": "int64", "v": n}}}, "to": to}
-    got = engine.graph(graph(SOURCE, {"id": 2, "kind": "route", "routes": [case(0, 3), case(1, 4)], "default_out": 5, "out": [3, 4, 5]}, {"id": 3, "kind": "project", "exprs": [{"alias": "v", "expr": COL}], "out": [6]}, {"id": 4, "kind": "map", "exprs": [{"alias": "v", "expr": COL}], "out": [6]}, {"id": 6, "kind": "union_all", "out": [9]}, {"id": 5, "kind": "best_effort_sink", "name": "rest"}, SINK))
+    got = engine.graph(graph(SOURCE, {"id": 2, "kind": "route", "routes": [case(0, 3), case(1, 4)], "default_out": 5, "out": [3, 4, 5], "best_effort": [5]}, {"id": 3, "kind": "project", "exprs": [{"alias": "v", "expr": COL}], "out": [6]}, {"id": 4, "kind": "map", "exprs": [{"alias": "v", "expr": COL}], "out": [6]}, {"id": 6, "kind": "union_all", "out": [9]}, {"id": 5, "kind": "best_effort_sink", "name": "rest"}, SINK))
     assert got["out"].count() == 6 and got["rest"].count() == 6
     got = engine.graph(graph(SOURCE, {"id": 2, "kind": "filter", "predicate": case(0, 0)["predicate"], "out": [9], "side_output": {"kind": "rule_reject", "to": 8, "full": "drop"}}, SINK, {"id": 8, "kind": "capture_sink", "name": "rejected"}))
     assert got["out"].count() == 3 and got["rejected"].count() == 9
@@ -71,10 +71,23 @@ def test_late_rows_leave_by_their_side_output(spark):
     assert sorted((r["window_start"], r["c"]) for r in got["out"].collect()) == [(0, 1), (30, 2)]
 
 
+def test_records_that_do_not_decode_leave_by_their_side_output(spark):
+    e = Engine(spark)
+    e.register_records("s", spark.createDataFrame([('{"v":1}',), ("{",), ('{"v":2}',)], "r string"), "r", schema([("v", "int64", False)]), ["v"])
+    got = e.graph(graph(SOURCE | {"out": [9], "side_output": {"kind": "decode_error", "to": 8, "full": "drop"}}, SINK, {"id": 8, "kind": "capture_sink", "name": "bad"}))
+    assert sorted(r["v"] for r in got["out"].collect()) == [1, 2]
+    assert [(r["record"], r["reason"]) for r in got["bad"].collect()] == [("{", "malformed record")]
+    rows = formats.from_rows(spark, [{"v": 5}, '{"v":6}'], schema([("v", "int64", False)]))
+    assert sorted(r["v"] for r in e.query("SELECT v FROM mine", {"mine": rows}).collect()) == [5, 6]
+    with pytest.raises(Exception, match="decode"):
+        formats.from_rows(spark, ["{"], schema([("v", "int64", False)])).collect()
+
+
 BAD = [
     ({"version": 2, "nodes": [SOURCE]}, "version"), (graph(SOURCE), "unknown node"), (graph(SOURCE, {"id": 2, "kind": "filter", "out": [9]}, SINK), "predicate"), (graph(SOURCE | {"x": 1}, SINK), "unknown field"), (graph(SOURCE | {"out": [9]}, SINK, SINK), "twice"),
     (graph(SOURCE, {"id": 2, "kind": "map", "exprs": [{"alias": "v", "expr": COL}], "out": [3]}, {"id": 3, "kind": "map", "exprs": [{"alias": "v", "expr": COL}], "out": [2]}, SINK), "cycle"), (graph(SOURCE | {"out": [9], "table": "none"}, SINK), "unknown stream"),
     (graph(SOURCE, {"id": 2, "kind": "union_all", "out": [9]}, SINK), "inputs"), (graph(SOURCE, {"id": 2, "kind": "join", "out": [9]}, SINK), "join"), (graph(SOURCE, {"id": 2, "kind": "retract", "out": [9]}, SINK), "retraction"), (graph(SOURCE, {"id": 2, "kind": "nothing", "out": [9]}, SINK), "nothing"),
+    (graph(SOURCE | {"out": [9], "best_effort": [9]}, SINK), "best-effort edge"), (graph(SOURCE | {"out": [9]}, {"id": 9, "kind": "best_effort_sink"}), "stands behind"), (graph(SOURCE | {"out": [9], "side_output": {"kind": "decode_error", "to": 8, "full": "drop"}}, SINK, SINK | {"id": 8, "name": "x"}), "decode_error"),
     (graph(SOURCE, {"id": 2, "kind": "window_agg", "window": {"kind": "session"}, "aggs": [], "out": [9]}, SINK), "time domain"), (graph(SOURCE, {"id": 2, "kind": "branch", "out": [9], "iot": {}}, SINK), "belong"), (graph(SOURCE, {"id": 2, "kind": "route", "routes": [], "out": [9]}, SINK), "default"),
 ]
 
