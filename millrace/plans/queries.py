@@ -355,9 +355,16 @@ def resample_mean(spark, sf_dir):
     return out.select("user_id", "resample_time", F.round("value", 6).alias("value"), F.col("resample_samples").cast("long").alias("samples"))
 
 
-@query("resample_interpolate")
+@query("resample_interpolate", GRID + f""",
+    p AS (SELECT g.user_id, g, max(t) FILTER (t < g) AS lt, arg_max(value, (t, event_id)) FILTER (t < g) AS lv, min(t) FILTER (t >= g) AS rt, arg_min(value, (t, event_id)) FILTER (t >= g) AS rv FROM g JOIN e ON e.user_id = g.user_id GROUP BY ALL)
+    SELECT user_id, g AS resample_time,
+           round(CASE WHEN rt = g THEN rv WHEN rt < g + {DAY} AND rt - lt <= {2 * DAY} THEN lv + (rv - lv) * ((g - lt)::DOUBLE / (rt - lt)) END, 6) AS value,
+           CASE WHEN rt = g THEN 1 WHEN rt < g + {DAY} AND rt - lt <= {2 * DAY} THEN 2 ELSE 0 END::BIGINT AS samples
+    FROM p
+""")
 def resample_interpolate(spark, sf_dir):
-    return state.resample(events(spark, sf_dir), ["user_id"], ["value"], DAY, ["event_id"], "t", "interpolate", max_wait=DAY, max_gap=2 * DAY)
+    out = state.resample(events(spark, sf_dir), ["user_id"], ["value"], DAY, ["event_id"], "t", "interpolate", max_wait=DAY, max_gap=2 * DAY)
+    return out.select("user_id", "resample_time", F.round("value", 6).alias("value"), F.col("resample_samples").cast("long").alias("samples"))
 
 
 def conditions(spark, sf_dir) -> DataFrame:
@@ -377,14 +384,50 @@ def hold_for(spark, sf_dir):
     return state.hold_for(conditions(spark, sf_dir), ["user_id"], "high", 6 * HOUR, ["event_id"], "t").select("user_id", "event_id")
 
 
-@query("debounce")
+@query("debounce", f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f AS (SELECT user_id, event_id, t, rn, t AS start, t + {4 * HOUR} AS due, 1 AS burst FROM e WHERE rn = 1
+          UNION ALL
+          SELECT e.user_id, e.event_id, e.t, e.rn, CASE WHEN e.t >= f.due THEN e.t ELSE f.start END, CASE WHEN e.t >= f.due THEN e.t + {4 * HOUR} ELSE least(e.t + {4 * HOUR}, f.start + {12 * HOUR}) END,
+                 f.burst + CASE WHEN e.t >= f.due THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1),
+    b AS (SELECT user_id, burst, min(event_id) AS first, max(event_id) AS last, burst < max(burst) OVER (PARTITION BY user_id) AS closed FROM f GROUP BY user_id, burst)
+    SELECT user_id, first AS event_id FROM b UNION ALL SELECT user_id, last FROM b WHERE last > first AND closed
+""")
 def debounce(spark, sf_dir):
-    return state.debounce(conditions(spark, sf_dir), ["user_id"], ["high"], 4 * HOUR, 12 * HOUR, ["event_id"], "t", leading=True)
-
-
-@query("alarm")
+    return state.debounce(conditions(spark, sf_dir), ["user_id"], ["high"], 4 * HOUR, 12 * HOUR, ["event_id"], "t", leading=True).select("user_id", "event_id")
+
+
+ALARM = {"activate": 2 * HOUR, "resolve": HOUR, "cooldown": 12 * HOUR, "max_age": 8 * HOUR}
+
+
+@query("alarm", """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, value >= 60 AS hi, value < 20 AS lo, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f AS (
+        SELECT user_id, event_id, rn, CASE WHEN hi THEN 'pending' ELSE 'normal' END AS phase, CASE WHEN hi THEN t + {activate} END AS due, 0::BIGINT AS quiet_to, NULL::BIGINT AS since, 0::BIGINT AS episode,
+               NULL::BIGINT AS held, NULL::BIGINT AS n1_at, NULL::VARCHAR AS n1_phase, NULL::BIGINT AS c_at, NULL::VARCHAR AS c_event, false AS c_notify, NULL::BIGINT AS n2_at, 0::BIGINT AS old_episode
+        FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, event_id, rn,
+               CASE WHEN p2 = 'normal' AND hi THEN 'pending' WHEN p2 = 'pending' AND NOT hi THEN 'normal' WHEN p2 = 'active' AND lo THEN 'recovering' WHEN p2 = 'recovering' AND NOT lo THEN 'active' ELSE p2 END,
+               CASE WHEN p2 = 'normal' AND hi THEN t + {activate} WHEN p2 = 'pending' AND NOT hi THEN NULL WHEN p2 = 'active' AND lo THEN t + {resolve} WHEN p2 = 'recovering' AND NOT lo THEN NULL ELSE d2 END,
+               CASE WHEN n2 AND s2 + {max_age} > a2 THEN a2 + {cooldown} ELSE q2 END, CASE WHEN n2 THEN NULL ELSE s2 END, ep2,
+               held, CASE WHEN n1 AND since + {max_age} > a0 THEN a0 END, phase, CASE WHEN c THEN due END, CASE WHEN c AND phase = 'pending' THEN 'activate' WHEN c THEN 'resolve' END, c AND (phase <> 'pending' OR due >= q1), CASE WHEN n2 AND s2 + {max_age} > a2 THEN a2 END, episode
+        FROM (SELECT *, CASE WHEN s2 IS NOT NULL THEN least(q2, s2 + {max_age}) END AS a2, coalesce(a2 <= t, false) AS n2
+              FROM (SELECT *, CASE WHEN c AND phase = 'pending' THEN 'active' WHEN c THEN 'normal' ELSE phase END AS p2, CASE WHEN c THEN NULL ELSE due END AS d2,
+                           CASE WHEN c AND (phase <> 'pending' OR due >= q1) THEN due + {cooldown} ELSE q1 END AS q2,
+                           CASE WHEN c AND phase = 'pending' AND due < q1 THEN due WHEN c THEN NULL ELSE s1 END AS s2, episode + CASE WHEN c AND phase = 'pending' THEN 1 ELSE 0 END AS ep2
+                    FROM (SELECT *, CASE WHEN n1 AND since + {max_age} > a0 THEN a0 + {cooldown} ELSE quiet_to END AS q1, CASE WHEN n1 THEN NULL ELSE since END AS s1
+                          FROM (SELECT *, coalesce(a0 <= t AND (due IS NULL OR a0 < due), false) AS n1, coalesce(due <= t, false) AS c
+                                FROM (SELECT e.*, f.event_id AS held, f.phase, f.due, f.quiet_to, f.since, f.episode, CASE WHEN f.since IS NOT NULL THEN least(f.quiet_to, f.since + {max_age}) END AS a0
+                                      FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)))))
+    )
+    SELECT user_id, held AS event_id, 'notify' AS alarm_event, n1_phase AS alarm_phase, old_episode AS alarm_episode, n1_at AS alarm_time, true AS alarm_notify FROM f WHERE n1_at IS NOT NULL
+    UNION ALL SELECT user_id, held, c_event, CASE c_event WHEN 'activate' THEN 'active' ELSE 'normal' END, old_episode + CASE c_event WHEN 'activate' THEN 1 ELSE 0 END, c_at, c_notify FROM f WHERE c_at IS NOT NULL
+    UNION ALL SELECT user_id, held, 'notify', 'active', episode, n2_at, true FROM f WHERE n2_at IS NOT NULL
+""".format(**ALARM))
 def alarm(spark, sf_dir):
-    return state.alarm(conditions(spark, sf_dir), ["user_id"], "high", "low", ["event_id"], "t", activate=2 * HOUR, resolve=HOUR, cooldown=12 * HOUR, max_age=8 * HOUR)
+    out = state.alarm(conditions(spark, sf_dir), ["user_id"], "high", "low", ["event_id"], "t", **ALARM)
+    return out.select("user_id", "event_id", "alarm_event", "alarm_phase", F.col("alarm_episode").cast("long").alias("alarm_episode"), "alarm_time", "alarm_notify")
 
 
 @query("silence", f"""
