@@ -198,19 +198,21 @@ def _streamed(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict]
 
 
 def _sessions(df: DataFrame, spec: WindowSpec, keys: list[str], key: list[Column], aggs: list[dict], arrival: list[Column], order: Column) -> DataFrame:
-    """Gap sessions by window functions; only those that outlast ``max_duration`` are cut by a fold."""
+    """Gap sessions by window functions; only rows past a session's maximum duration go through a fold.
+
+    Rows before ``first + max_duration`` are in the session that ``first`` opened, whatever follows; those from there on
+    open further sessions, each cut at the duration again.
+    """
     if not arrival:
         raise QueryError("SESSION needs an arrival order")
     arrived = df.withColumn("_a", F.struct(*arrival))
     by = Window.partitionBy(*key).orderBy("_t", "_a")
     opens = F.coalesce(F.col("_t") - F.lag("_t").over(by) >= spec.gap, F.lit(True))
     ids = arrived.withColumn("_opens", F.when(opens, F.col("_t")))
-    ids = ids.withColumn("_first", F.last("_opens", ignorenulls=True).over(by))
-    whole = Window.partitionBy(*key, "_first")
-    ids = ids.withColumn("_last", F.max("_t").over(whole)).drop("_opens")
-    fits = F.col("_last") + spec.gap <= F.col("_first") + spec.max_duration
-    short = ids.filter(fits).withColumns({"session_start": F.col("_first"), "session_reach": F.col("_last") + spec.gap})
-    long = folds.run(ids.filter(~fits), folds.SessionBounds(keys=[*keys, "_first"], gap=spec.gap, longest=spec.max_duration), F.col("_t"), [F.col("_t"), F.col("_a")])
+    ids = ids.withColumn("_first", F.last("_opens", ignorenulls=True).over(by)).drop("_opens")
+    inside = F.col("_t") < F.col("_first") + spec.max_duration
+    short = ids.filter(inside).withColumns({"session_start": F.col("_first"), "session_reach": F.least(F.col("_t") + spec.gap, F.col("_first") + spec.max_duration)})
+    long = folds.run(ids.filter(~inside), folds.SessionBounds(keys=[*keys, "_first"], gap=spec.gap, longest=spec.max_duration), F.col("_t"), [F.col("_t"), F.col("_a")])
     rows = short.unionByName(long)
     names = [F.col(f"`{a['alias']}`") for a in aggs]
     made = rows.groupBy(*key, "session_start").agg(F.max("session_reach").alias("_end"), *aggregates.all_of(aggs, df.schema, F.struct("_t", "_a")))
