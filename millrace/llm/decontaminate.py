@@ -210,7 +210,8 @@ class Bm25Index:
             for item, score in self.search([int(t) for t in terms if t >= 0]):
                 q, a = self.verified(item, words)
                 if q >= overlap and a >= overlap:
-                    found = (score * self.reach, q, a, -first)
+                    # rounded, so that of windows that hold the same words the first is the best
+                    found = (round(score * self.reach, 9), q, a, -first)
                     best[int(text), item] = max(best.get((int(text), item), found), found)
         return [(t, i, s, q, a, -f) for (t, i), (s, q, a, f) in sorted(best.items())]
 

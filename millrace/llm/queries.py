@@ -59,7 +59,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,33 @@ def oracle_sql() -> dict[str, str]:
             FROM f
         """,
         "op5_license_scan": licenses.oracle_sql(),
+        "op6_ngram_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+            c AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.d)
+            SELECT d AS doc_id, min(r) AS class_id, (SELECT count(*) FROM l WHERE l.a = d) AS n_links FROM c GROUP BY d
+        """,
+        "op9_benchmark_decontamination": r"""
+            WITH i0 AS (SELECT item_id, trim(text) AS text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+            i AS (SELECT *, len(ws) AS n, CASE WHEN regexp_matches(text, '[.?!:]\s+') THEN regexp_extract(text, '(?s)^(.*[.?!:]\s+)', 1) ELSE array_to_string(string_split(text, ' ')[:len(string_split(text, ' ')) - len(string_split(text, ' ')) // 3], ' ') END AS q FROM i0),
+            h AS (SELECT item_id, part, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM (SELECT item_id, 'q' AS part, q AS body FROM i UNION ALL SELECT item_id, 'a', substring(text, length(q) + 1) FROM i)),
+            hg AS (SELECT DISTINCT item_id, part, least(3, len(ws)) AS m, unnest([array_to_string(ws[j:j + least(3, len(ws)) - 1], ' ') FOR j IN range(1, len(ws) - least(3, len(ws)) + 2)]) AS g FROM h WHERE len(ws) > 0),
+            hn AS (SELECT item_id, part, count(*) AS total FROM hg GROUP BY ALL),
+            tf AS (SELECT item_id, n, w, count(*) AS tf FROM (SELECT item_id, n, unnest(ws) AS w FROM i) GROUP BY ALL),
+            st AS (SELECT count(*) AS items, avg(n) AS mean, greatest(32, max(n)) AS half FROM i),
+            df AS (SELECT w, ln(1 + (any_value(items) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY w),
+            wt AS (SELECT item_id, w, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS weight FROM tf JOIN df USING (w), st),
+            self AS (SELECT item_id, sum(weight) AS whole FROM wt GROUP BY item_id),
+            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+            win AS (SELECT doc_id, k * half AS first, ws[k * half + 1:(k + 2) * half] AS ws FROM (SELECT doc_id, ws, half, unnest(range(0, greatest(1, CAST(ceil(len(ws) / half) AS BIGINT) - 1))) AS k FROM d, st)),
+            hit AS (SELECT doc_id, first, item_id, sum(weight) / any_value(whole) AS score FROM (SELECT DISTINCT doc_id, first, unnest(ws) AS w FROM win) JOIN wt USING (w) JOIN self USING (item_id) GROUP BY ALL HAVING sum(weight) >= 0.6 * any_value(whole) - 1e-6),
+            has AS (SELECT doc_id, first, item_id, round(score, 9) AS score, part, count(*) FILTER (contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || g || ' ')) / any_value(total) AS share
+                    FROM hit JOIN win USING (doc_id, first) JOIN hg USING (item_id) JOIN hn USING (item_id, part) GROUP BY ALL),
+            both_ AS (SELECT doc_id, item_id, score, first, coalesce(max(share) FILTER (part = 'q'), max(share)) AS q, coalesce(max(share) FILTER (part = 'a'), max(share)) AS a FROM has GROUP BY ALL)
+            SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, first AS first_word FROM both_ WHERE q >= 0.5 AND a >= 0.5
+            QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, q DESC, a DESC, first) = 1
+        """,
     }
