@@ -20,6 +20,7 @@ benchmark gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,36 @@ def question_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 and the windows take from all items, however many indexes hold them."""
+
+    items: int
+    vocab: np.ndarray  # sorted word hashes
+    df: np.ndarray  # items that hold each word
+    mean: float  # words to an item
+    longest: int
+
+    @staticmethod
+    def of(texts: Iterable[str], batch: int = SHARD_ITEMS) -> "Statistics":
+        vocab, df, have = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), []
+        items = words = longest = 0
+
+        def merged():
+            every, at = np.unique(np.concatenate([vocab, *have]), return_inverse=True)
+            return every, np.bincount(at, weights=np.concatenate([df, np.ones(len(at) - len(df))]), minlength=len(every)).astype(np.int64)
+
+        for text in texts:
+            hashes = word_hashes(text)
+            items, words, longest = items + 1, words + len(hashes), max(longest, len(hashes))
+            have.append(np.unique(hashes))
+            if len(have) == batch:
+                vocab, df = merged()
+                have = []
+        vocab, df = merged()
+        return Statistics(items, vocab, df, words / max(items, 1), longest)
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     ids: list
@@ -65,20 +96,21 @@ class Bm25Index:
     reach: float
 
     @staticmethod
-    def build(items: list[tuple], reach: float = REACH) -> "Bm25Index":
-        """items: (id, text, question, answer); ids may be any type."""
+    def build(items: list[tuple], reach: float = REACH, of: Statistics | None = None) -> "Bm25Index":
+        """items: (id, text, question, answer); ids may be any type.  ``of``: all items, where these are a part of them."""
+        of = of or Statistics.of(x[1] for x in items)
         words = [np.unique(word_hashes(x[1]), return_counts=True) for x in items]
         lengths = np.array([c.sum() for _, c in words], dtype=float)
         vocab = np.unique(np.concatenate([w for w, _ in words])) if items else np.empty(0, dtype=np.uint64)
         term = [np.searchsorted(vocab, w) for w, _ in words]
-        df = np.bincount(np.concatenate(term), minlength=len(vocab)) if items else np.empty(0)
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        df = of.df[np.searchsorted(of.vocab, vocab)]
+        idf = np.log(1 + (of.items - df + 0.5) / (df + 0.5))
         # neighbours in the index share their commonest words, so that blocks hold one language and bounds stay low
         common = [tuple(sorted(t, key=lambda x: -df[x])[:3]) for t in term]
         order = sorted(range(len(items)), key=lambda i: (common[i], i))
         rows, ids, parts = [], [], []
         for at, i in enumerate(order):
-            tf, mean = words[i][1], max(lengths.mean(), 1)
+            tf, mean = words[i][1], max(of.mean, 1)
             w = idf[term[i]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean))
             if len(w):
                 rows.append(np.stack([term[i], np.full(len(w), at), w / (reach * w.sum())]))
@@ -102,7 +134,7 @@ class Bm25Index:
         chosen[heavy[before < ESSENTIAL / reach]] = True
         rest = np.bincount(item[~chosen], weights=weight[~chosen], minlength=len(items))
         essential = np.searchsorted(t[chosen], np.arange(len(vocab) + 1))
-        return Bm25Index(ids, vocab, start, item, weight, top, block_top, essential, item[chosen], weight[chosen], rest, parts, max(32, int(lengths.max()) if items else 0), reach)
+        return Bm25Index(ids, vocab, start, item, weight, top, block_top, essential, item[chosen], weight[chosen], rest, parts, max(32, of.longest), reach)
 
     def terms(self, words: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, -1 for others."""
@@ -217,16 +249,26 @@ class Bm25Index:
 
 
 def indexes(items: DataFrame, reach: float = REACH, shard_items: int = SHARD_ITEMS) -> list[Bm25Index]:
-    """Indexes over items(item_id, text[, question, answer]), ``shard_items`` items in each, so that each is small enough to send."""
+    """Indexes over items(item_id, text[, question, answer]), ``shard_items`` items in each, so that each is small enough to send.
+
+    All weigh words by all items, so no result depends on who shares an index.
+    """
     halves = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
+    items = items.select("item_id", "text", *halves)
+
+    def read(rows):
+        for r in rows.toLocalIterator():
+            q, a = (r["question"] or "", r["answer"] or "") if r["question"] or r["answer"] else question_answer(r["text"] or "")
+            yield r["item_id"], r["text"] or f"{q} {a}", q, a
+
+    of = Statistics.of(text for _, text, *_ in read(items))
     shards, rows = [], []
-    for r in items.select("item_id", "text", *halves).orderBy("item_id", "text").toLocalIterator():
-        q, a = (r["question"] or "", r["answer"] or "") if r["question"] or r["answer"] else question_answer(r["text"] or "")
-        rows.append((r["item_id"], r["text"] or f"{q} {a}", q, a))
+    for row in read(items.orderBy("item_id", "text")):
+        rows.append(row)
         if len(rows) == shard_items:
-            shards.append(Bm25Index.build(rows, reach))
+            shards.append(Bm25Index.build(rows, reach, of))
             rows = []
-    return [*shards, *([Bm25Index.build(rows, reach)] if rows else [])]
+    return [*shards, *([Bm25Index.build(rows, reach, of)] if rows else [])]
 
 
 def _batches(texts: list) -> list[tuple[int, list[np.ndarray]]]:

@@ -378,6 +378,20 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, sf):
     assert kept == set(docs) - {d for d, _ in got}
 
 
+def test_results_do_not_depend_on_the_indexes_that_hold_items(spark):
+    r = random.Random(21)
+    items = [(i, " ".join(r.choices(WORDS, k=r.randint(12, 60))) + ". " + " ".join(r.choices(WORDS, k=6))) for i in range(45)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    docs = []
+    for _, text in items:
+        words = text.split(" ")
+        for share in (0.5, 0.6, 0.65, 0.7, 1):
+            docs.append(word_hashes(" ".join([*r.choices(WORDS, k=20), *words[: int(len(words) * share) - 6], *words[-6:], *r.choices(WORDS, k=90)])))
+    found = [sorted((t, x.ids[i], *rest) for x in decontaminate.indexes(df, shard_items=n) for t, i, *rest in x.leaks(docs)) for n in (4_096, 20)]
+    assert len(found[0]) > 45 and [x[:2] + x[3:] for x in found[0]] == [x[:2] + x[3:] for x in found[1]]
+    assert np.allclose([x[2] for x in found[0]], [x[2] for x in found[1]])
+
+
 # 10 quality
 
 
