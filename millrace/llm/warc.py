@@ -36,6 +36,7 @@ LEAST = 100
 #: Records to an archive file at most.
 FILE_RECORDS = 20_000
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_VERSION_LINE, _BLANK_LINE = re.compile(rb"WARC/1\.[01]\r?\n"), re.compile(rb"\r?\n\r?\n")
 _PIECE = 1 << 16
 
 
@@ -127,22 +128,21 @@ def unpacked(data: memoryview, at: int) -> tuple[bytes, int]:
 
 def parsed(data: memoryview | bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and where it ends, or Damaged."""
-    head = bytes(data[at : at + _PIECE])
-    found = re.match(rb"WARC/1\.[01]\r?\n", head)
+    found = _VERSION_LINE.match(data, at)
     if not found:
         raise Damaged("no version line")
-    stop = re.search(rb"\r?\n\r?\n", head)
+    stop = _BLANK_LINE.search(data, at)
     if not stop:
         raise Damaged("header has no end")
     fields: dict[str, str] = {}
-    for line in head[found.end() : stop.start()].split(b"\n"):
+    for line in bytes(data[found.end() : stop.start()]).split(b"\n"):
         name, colon, value = line.rstrip(b"\r").decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damaged("header line without a colon")
         fields.setdefault(name.strip().lower(), value.strip())
     if not fields.get("content-length", "").isdigit():
         raise Damaged("no Content-Length")
-    begin = at + stop.end()
+    begin = stop.end()
     end = begin + int(fields["content-length"])
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise Damaged("record does not end where Content-Length says")

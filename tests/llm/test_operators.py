@@ -139,6 +139,15 @@ def test_archives_read_back_with_their_gaps(spark, tmp_path):
     assert len(good) == 19 and all(bytes(r["payload"]).decode() == f"text {r['page_id']} " * 50 for r in good)
 
 
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("url", ["http://x/" + "a" * 65_000, "http://x/" + "a b" * 30_000])
+def test_a_page_with_a_very_long_url_reads_back(packed, url):
+    made = [warc.record(i, u, b"page", hashlib.sha256(b"page").hexdigest(), None, 4, "2024-01-01T00:00:00Z") for i, u in enumerate([url, "http://y"])]
+    found = list(warc.salvage(b"".join(warc.member(m) if packed else m for m in made)))
+    assert [k for k, *_ in found] == ["record"] * 2
+    assert found[0][3]["fields"]["warc-target-uri"] == url.replace(" ", "%20")
+
+
 # 4 syncmers
 
 
