@@ -7,9 +7,9 @@ first-order character models, one of random strings and one of ordinary
 identifiers, trained from labelled samples.
 
 Defined cases: null is the empty text; offsets count code points, ends are
-exclusive; spans are in order of start, then kind; a random-looking token that a
-pattern's span already touches is not reported again; repeated rows are scanned
-alike, each once.
+exclusive; spans are in order of start, then kind; of a token that patterns' spans
+touch, the parts outside of them are judged and reported; repeated rows are
+scanned alike, each once.
 """
 
 from __future__ import annotations
@@ -96,14 +96,29 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     return [round(float(x), 3) for x in (logs[1] - logs[0]).ravel()]
 
 
+def _ratio(token: Column, ratios: list[float]) -> Column:
+    table = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")
+    return F.aggregate(codes(token), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.get(table, acc["last"] * 128 + c)).otherwise(0.0)).alias("sum")))["sum"]
+
+
 def looks_random(token: Column, ratios: list[float]) -> Column:
     """Whether the models' log-likelihood ratio for a token is high enough, in all and for each character."""
-    table = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")
-    values = codes(token)
-    total = F.aggregate(values, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.get(table, acc["last"] * 128 + c)).otherwise(0.0)).alias("sum")))["sum"]
+    total = _ratio(token, ratios)
     return (total >= LEAST_RATIO) & (total >= LEAST_MEAN * (F.char_length(token) - 1))
 
 
+def uncovered(start: Column, end: Column, spans: Column) -> Column:
+    """What of [start, end) lies in none of the spans, as structs (start, end); ``spans`` in order of start."""
+
+    def cut(acc, b):
+        piece = F.struct(acc["at"].alias("start"), b["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    near = F.filter(spans, lambda b: (b["start"] < end) & (b["end"] > start))
+    done = F.aggregate(near, F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), cut)
+    return F.when(done["at"] < end, F.array_append(done["out"], F.struct(done["at"].alias("start"), end.alias("end")))).otherwise(done["out"])
+
+
 def scan(docs: DataFrame, ratios: list[float], keep: list[str] | None = None) -> DataFrame:
     """``base`` and ``extra`` spans of every row's whole text, beside the columns in ``keep``."""
     keep = ["doc_id"] if keep is None else keep
@@ -116,9 +131,18 @@ def scan(docs: DataFrame, ratios: list[float], keep: list[str] | None = None) ->
     rows = rows.withColumn("_odd", F.exists("_tokens", lambda t: looks_random(t, ratios)))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[f"_{name}" for name, *_ in BASE])))
     placed = F.arrays_zip(F.col("_tokens").alias("token"), found(text, TOKEN, 0, 1, len(BASE)).alias("span"))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (b["end"] > x["span"]["start"]))
-    extra = F.transform(F.filter(placed, lambda x: looks_random(x["token"], ratios) & free(x)), lambda x: x["span"])
-    return rows.select(*keep, "base", F.when(F.col("_odd"), extra).otherwise(none).alias("extra"))
+    touched = lambda x: F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (b["end"] > x["span"]["start"]))
+
+    def parts(x):
+        """Of a token that base spans touch, the parts outside: each looks random by itself, or as a part of a token that does."""
+        start, odd = x["span"]["start"], looks_random(x["token"], ratios)
+        text = lambda p: x["token"].substr(p["start"] - start + 1, p["end"] - p["start"])
+        like = lambda p: (p["end"] - p["start"] > 1) & (_ratio(text(p), ratios) >= F.when(odd, LEAST_MEAN * (p["end"] - p["start"] - 1)).otherwise(F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (p["end"] - p["start"] - 1))))
+        kept = F.filter(uncovered(start, x["span"]["end"], F.col("base")), like)
+        return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), F.lit(len(BASE)).alias("kind"), p["end"].alias("end")))
+
+    extra = F.flatten(F.transform(placed, lambda x: F.when(touched(x), parts(x)).when(looks_random(x["token"], ratios), F.array(x["span"])).otherwise(none)))
+    return rows.select(*keep, "base", F.when(F.col("_odd") | ((F.size("base") > 0) & (F.size("_tokens") > 0)), extra).otherwise(none).alias("extra"))
 
 
 def told(spans: Column) -> Column:
