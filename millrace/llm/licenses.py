@@ -1,11 +1,18 @@
-"""License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
+"""License scans: sparse cosine to templates, then inheritance from the nearest licensed directory.
 
-Only DataFrame expressions.  The units of a file are its lines; a unit's vector
-weighs each token by its count and inverse document frequency, the latter
-counted over all files for the templates' words (any other token weighs as much
-as the templates' words do on average).  Units that could reach the threshold
-are found by the words without which a template cannot (prefix filtering, which
-loses nothing); cosines are worked out for those alone, inside the row.
+Only DataFrame expressions.  Licence texts and standard headers (``licence_texts/``) are compared with windows
+over consecutive lines that hold as many words as the template, and with whole
+shorter files, by their counts of word pairs: comment signs and line breaks do
+not count, and common words alone make no likeness.  Only distinct texts that
+have one of the words without which no template reaches the threshold are cut up.
+
+One-sentence statements are compared with lines: a line's vector weighs each token by its count and inverse document frequency,
+the latter counted over all files for the templates' words (any other token
+weighs as much as the templates' words do on average).  Lines that could reach
+the threshold are found by the words without which a template cannot (prefix
+filtering, which loses nothing); cosines are worked out for those alone, inside
+the row.  A text's licence is that of its best window, else of its best line,
+else of the best sentence of a line.
 
 A file without a license of its own takes that of the nearest directory above it
 that holds a licence file.  Directories are reduced to distinct ones before the
@@ -20,9 +27,11 @@ rows are scanned each; with no files there is no row.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._tables import written
@@ -54,6 +63,10 @@ TEMPLATES = (
 #: Fixed value: names of files that license their directory.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([-._].*)?$"
 THRESHOLD = 0.8
+#: Licence texts and standard headers: <license>.txt and <license>.header.txt.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Words too common to tell texts apart, for the first look at a text.
+_COMMON = frozenset("a an and any are as at be by for from if in is it its may no not of on or other such that the their this to under use with you your".split())
 _BREAK = "[^a-z0-9]+"
 
 
@@ -80,8 +93,75 @@ def _weights(files: DataFrame, templates) -> tuple[dict[str, float], float]:
     return idf, sum(idf.values()) / len(idf)
 
 
+def texts() -> list[tuple[str, str]]:
+    """(license, text) of the licence texts and standard headers."""
+    return [(re.sub(r"(\.header)?\.txt$", "", p.name), p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+
+
+def _pairs(text: str) -> Counter:
+    words = _tokens(text)
+    return Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+
+
+def anchors(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[str]:
+    """Words one of which every text has that reaches the threshold: without them a template's pairs weigh too little."""
+    out: set[str] = set()
+    for _, text in templates:
+        left = {tuple(pair.split()): c * c for pair, c in _pairs(text).items()}
+        bar = threshold**2 * sum(left.values()) - 1e-9
+        while True:
+            left = {pair: m for pair, m in left.items() if not out & set(pair)}
+            if sum(left.values()) < bar:
+                break
+            mass: Counter = Counter()
+            for pair, m in left.items():
+                for word in set(pair):
+                    mass[word] += m
+            out.add(max(mass, key=lambda x: (x not in _COMMON and len(x) > 2, mass[x], x)))
+    return sorted(out)
+
+
+def block_licenses(files: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
+    """files(key, text), each key once -> key, block: struct(score, license, line) of the texts that hold a licence text or header.
+
+    Of every text and template two windows are judged, of those that reach and of those that just miss the template's
+    number of words the one that shares most with it.
+    """
+    spark = files.sparkSession
+    rows = []
+    for k, (name, text) in enumerate(templates):
+        pairs = _pairs(text)
+        size, norm = len(_tokens(text)), math.sqrt(sum(c * c for c in pairs.values()))
+        rows += [(k, name, size, pair, c / norm) for pair, c in pairs.items()]
+    shapes = F.broadcast(spark.createDataFrame(rows, "k int, license string, size int, pair string, w double"))
+    words = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(tokens(x), lambda t: F.struct(t.alias("t"), (i + 1).alias("line")))))
+    pos = files.select("key", words.alias("ws")).select("key", F.posexplode(F.arrays_zip(F.col("ws").alias("x"), F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))).alias("y"))).alias("at", "z"))
+    # the last word of a text has no pair, but its line counts
+    pos = written(pos.select("key", "at", F.col("z.x.line").alias("line"), F.concat_ws(" ", "z.x.t", F.coalesce("z.y.t", F.lit(""))).alias("pair")), "license-pairs")
+    shared = pos.join(shapes, "pair")
+    # the cosine is at most the norm of what a template shares with the whole text
+    held = shared.select("key", "k", "license", "size", "pair", "w").distinct().groupBy("key", "k", "license", "size").agg(F.sum(F.col("w") * F.col("w")).alias("m")).filter(F.col("m") >= threshold**2 - 1e-9).drop("m")
+    held = written(held, "license-held")
+    lines = pos.groupBy("key", "line").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    dots = shared.join(held.select("key", "k"), ["key", "k"]).groupBy("key", "k", "line").agg(F.sum("w").alias("dot"))
+    at = lines.join(held, "key").join(dots, ["key", "k", "line"], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
+    # the window of a line: all lines that start before as many words as the template's have passed
+    unit = 1 << 20
+    at = at.withColumn("x", F.expr(f"(cast(a as bigint) * {unit}) div size"))
+    frame = Window.partitionBy("key", "k").orderBy("x").rangeBetween(0, unit - 1)
+    at = at.select("key", "k", "license", "size", "line", "a", "b", F.sum("dot").over(frame).alias("long"), F.last("dot").over(frame).alias("cut"), F.last("a").over(frame).alias("last_a"), F.max("b").over(frame).alias("last_b"))
+    alone = F.col("last_a") == F.col("a")
+    at = at.withColumns({"short": F.when(alone, F.col("long")).otherwise(F.col("long") - F.col("cut")), "short_b": F.when(alone, F.col("last_b")).otherwise(F.col("last_a"))})
+    best = at.groupBy("key", "k", "license").agg(*[F.max(F.struct(F.round(dot, 9).alias("dot"), "line", "a", F.col(end).alias("b"))).alias(of) for of, dot, end in (("l", "long", "last_b"), ("s", "short", "short_b"))])
+    windows = best.select("key", "k", "license", F.explode(F.array("l", "s")).alias("win")).select("key", "k", "license", "win.line", "win.a", "win.b").distinct()
+    inside = pos.select("key", "at", "pair").join(windows, "key").filter((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b") - 1))
+    counts = inside.groupBy("key", "k", "license", "line", "a", "b", "pair").agg(F.count("*").alias("c")).join(shapes.select("k", "pair", "w"), ["k", "pair"], "left")
+    scores = counts.groupBy("key", "license", "line", "a", "b").agg(F.round(F.sum(F.col("c") * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(F.col("c") * F.col("c"))), 6).alias("score"))
+    return scores.filter(F.col("score") >= threshold).groupBy("key").agg(F.max(F.struct("score", "license", F.col("line").cast("int").alias("line"))).alias("block"))
+
+
 def own_license(text: Column, idf: dict[str, float], other: float, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """struct(score, license, line) of the best line of a text, null if none reaches the threshold."""
+    """struct(score, license, line) of the best line of a text, else of the best sentence, null if none reaches the threshold."""
     shapes, needed = [], set()
     for name, statement in templates:
         weight = {t: c * idf[t] for t, c in Counter(_tokens(statement)).items()}
@@ -105,8 +185,10 @@ def own_license(text: Column, idf: dict[str, float], other: float, templates=TEM
         return F.struct(best["score"].alias("score"), best["license"].alias("license"), at.alias("line"))
 
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("at"))), lambda x: x["line"].rlike(anchor))
-    best = F.array_max(F.filter(F.transform(lines, lambda x: scored(x["line"], x["at"])), lambda x: x["score"] >= threshold))
-    return F.when(text.rlike(anchor), best)
+    parted = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x["line"], r"(?<=[.!?;])\s+"), lambda s: F.struct(s.alias("line"), x["at"].alias("at")))))
+    sentences = F.filter(parted, lambda x: x["line"].rlike(anchor))
+    best = lambda units: F.array_max(F.filter(F.transform(units, lambda x: scored(x["line"], x["at"])), lambda x: x["score"] >= threshold))
+    return F.when(text.rlike(anchor), F.coalesce(best(lines), best(sentences)))
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,8 +196,15 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     files = files.select("doc_id", "path", "text")
     idf, other = _weights(files, templates)
     slash = F.length("path") - F.length(F.substring_index("path", "/", -1))
-    rows = files.select("doc_id", "path", F.when(slash > 0, F.col("path").substr(F.lit(1), slash - 1)).otherwise(F.when(F.col("path").isNotNull(), "")).alias("dir"), F.substring_index("path", "/", -1).rlike(LICENCE_FILE).alias("is_file"), own_license(F.coalesce("text", F.lit("")), idf, other, templates, threshold).alias("own"))
+    blocks = texts()
+    text = F.coalesce("text", F.lit(""))
+    hint = F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(anchors(blocks, threshold)) + ")(?![a-z0-9])")
+    rows = files.select("doc_id", "path", F.when(slash > 0, F.col("path").substr(F.lit(1), slash - 1)).otherwise(F.when(F.col("path").isNotNull(), "")).alias("dir"), F.substring_index("path", "/", -1).rlike(LICENCE_FILE).alias("is_file"), own_license(text, idf, other, templates, threshold).alias("own"), F.when(hint, F.sha2(text, 256)).alias("key"))
     rows = written(rows, "licenses")
+    distinct = files.filter(hint).select(F.sha2(text, 256).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    found = written(block_licenses(distinct, blocks, threshold), "license-blocks")
+    judged = rows.filter(F.col("key").isNotNull()).join(found, "key", "left").withColumn("own", F.coalesce("block", "own"))
+    rows = rows.filter(F.col("key").isNull()).drop("key").unionByName(judged.drop("key", "block"))
     at = rows.filter(F.col("is_file") & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), "path", F.col("own.license").alias("license"))).alias("of"))
     at = at.select(F.col("dir").alias("licensed_dir"), F.col("of.license").alias("inherited"))
     # distinct directories, each with all its ancestors and itself
@@ -136,7 +225,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """The scan of ``documents`` under the paths that the query gives them, for DuckDB."""
+    """The scan of ``documents`` under the paths that the query gives them, for DuckDB: lines and statements alone."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
     return f"""

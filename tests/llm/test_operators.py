@@ -209,6 +209,18 @@ def test_licenses_and_inheritance(spark):
     assert got == {"a/LICENSE": ("MIT", "file", None), "a/b/c/x.py": ("GPL-3.0", "inherited", "a/b"), "a/b/COPYING": ("GPL-3.0", "file", None), "a/y.py": ("Apache-2.0", "header", None), "z.py": (None, "none", None), "q/r.txt": ("Proprietary", "header", None), None: (None, "none", None), "a/z.py": ("MIT", "inherited", "a")}
 
 
+def test_licence_files_and_headers_are_found(spark):
+    full = {x.name.removesuffix(".txt"): x.read_text() for x in licenses.TEXTS.glob("*.txt")}
+    commented = lambda x: "#!/bin/sh\n" + "\n".join(f" * {line}".rstrip() for line in x.split("\n")) + "\nint main() { return 0; }\n"
+    rows = [(name.removesuffix(".header"), f"// Copyright 2020 Jane Doe. All rights reserved.\n\n{text}") for name, text in full.items()]
+    rows += [(name.removesuffix(".header"), commented(text)) for name, text in full.items()]
+    rows += [(name.removesuffix(".header"), " ".join(text.split())) for name, text in full.items()]
+    rows += [("MIT", "Licensed under the MIT License. See License.txt in the project root for license information."), ("Proprietary", "Copyright (c) 2020 Jane Doe. All rights reserved."), (None, "The software of the author is free of the work. " * 50), (None, "")]
+    df = spark.createDataFrame([(i, f"d{i}/LICENSE", text) for i, (_, text) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
 # 6 Jaccard join
 
 
