@@ -3,23 +3,28 @@
 Texts become sets of hashed word 5-grams, equal sets one node.  Each of several
 runs puts every set under the smallest of its tokens in a random order, a token
 it shares with a similar set with probability equal to their Jaccard similarity.
-A bucket that is too large is split again: some further random orders are
+A bucket of more than ``BUCKET`` sets is split: a few further random orders are
 sampled for it and every member goes under its own smallest token in each,
 recursively, so that sets which share one frequent passage part ways while
-similar sets stay together.  Buckets that are small are searched by brute force
-on sketches, and so are, in blocks, large ones whose members are alike, where
-splitting would not help.  The number of runs follows from the target recall.
-
-A pair belongs to the first run (and in a split bucket, to the first sampled
-order) in which both sets meet, so every pair is looked at once however often it
-meets.  Likely pairs are verified on the exact sets.  Where nearly everything in
-a bucket is similar, its pairs are verified inside the bucket and leave it as a
-count for each member and a spanning star, so rows stay in proportion to members.
+similar sets stay together.  So few orders are sampled that a member's rows grow
+slowly with the levels; a pair that parts ways in one run has the other runs.
+Where splitting does not thin a bucket out (its members are alike) it is dealt
+in pairs of blocks.  Leaves, and pairs of blocks, are searched by brute force on
+sketches.  The number of runs follows from the target recall.
+
+A pair belongs to the least leaf that both sets are in, so it counts once however
+often it meets.  Likely pairs are verified on the exact sets.  Where nearly
+everything in a leaf is similar, its pairs are verified inside the leaf and leave
+it as a count for each member and a spanning star, so rows stay in proportion to
+members.
 
 Defined cases: a text of fewer than five words is the set of its one shingle;
 null texts and texts without words are linked to nothing and are classes of
 their own; equal sets are copies of each other (similarity 1); repeated rows are
-copies; class ids are the smallest doc_id of the class (null ids count last).
+copies, and so are rows of one id and equal sets; class ids are the smallest
+doc_id of the class (null ids count last); a text of any length is one set, made
+block by block; columns other than doc_id and text are not looked at, whatever
+their names; an empty table has no row.
 """
 
 from __future__ import annotations
@@ -37,26 +42,45 @@ from millrace.llm._tables import discarded, written
 from millrace.llm._text import mixed, shingles, word_hashes
 
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.99999
-#: One byte for each random order of a sketch; share of equal bytes from which a pair is verified (over five deviations below 0.8).
-SKETCH, LIKELY = 128, 0.6
-#: Members of a bucket that is searched at once (about a second of sketch comparisons; a split makes SAMPLED rows of each member), orders sampled for a larger one, mean similarity above which it is not split, levels of splits.
-BUCKET, SAMPLED, ALIKE, DEPTH = 4_096, 8, 0.3, 6
-#: Likely pairs to a member that leave a bucket as rows, and members to a block whose exact sets are compared at once.
-PAIRS, BLOCK_SETS = 8, 1_024
+#: One byte for each random order of a sketch, and the deviations below the similarity from which a pair is verified.
+SKETCH, DEVIATIONS = 128, 5.5
+#: Members of a leaf (larger buckets are split, alike ones dealt in blocks of as many), share of equal smallest tokens above which a bucket is alike, levels of splits at most.
+BUCKET, ALIKE, DEPTH = 512, 0.4, 10
+#: Likely pairs to a member that leave a leaf as rows, and members up to which leaves are searched together.
+PAIRS, FEW = 8, 16
 _ORDERS = np.random.default_rng(20_240_101)
 _ODD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _ADD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
-_ADD64 = _ORDERS.integers(0, 1 << 63, 64, dtype=np.uint64)
+
+
+def surviving(similarity: float, orders: int) -> float:
+    """Chance that a pair stays together in some leaf however deep a bucket is split, with so many orders to a level."""
+    lost = 0.0
+    for _ in range(200):
+        lost = (1 - similarity * (1 - lost)) ** orders
+    return 1 - lost
+
+
+def orders_for(similarity: float) -> int:
+    """Orders sampled at each split: as few as keep nine pairs of ten together."""
+    return next(k for k in range(1, SKETCH) if surviving(similarity, k) >= 0.9)
 
 
 def runs_for(recall: float, similarity: float) -> int:
-    """Runs after which a pair at the similarity has met with the target probability."""
-    return min(64, max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity))))
+    """Runs after which a pair at the similarity has met in a leaf with the target probability."""
+    together = similarity * surviving(similarity, orders_for(similarity))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
+def likely_from(similarity: float) -> float:
+    """Share of equal sketch bytes from which a pair is verified."""
+    return similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / SKETCH)
 
 
 def described(tokens: np.ndarray, runs: int) -> tuple[bytes, np.ndarray, bytes]:
     """Identity (128 bits), the bucket of each run, and the sketch of a set of tokens."""
-    keys = np.array([mixed(mixed(tokens + _ADD64[r]).min(keepdims=True) + np.uint64(r))[0] for r in range(runs)], dtype=np.uint64)
+    order = mixed(np.arange(1, runs + 1, dtype=np.uint64) << np.uint64(32))
+    keys = np.array([mixed(mixed(tokens + order[r]).min(keepdims=True) + np.uint64(r))[0] for r in range(runs)], dtype=np.uint64)
     low, least = (tokens >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 8192):
         least = np.minimum(least, (low[at : at + 8192, None] * _ODD32 + _ADD32).min(axis=0))
@@ -81,91 +105,89 @@ def _light(docs: DataFrame, runs: int) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal values of ``by`` in sorted batches, each as one frame."""
+def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches again, cut so that rows with equal values of ``by`` stay in one frame."""
     held: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
-        change = np.zeros(len(b), dtype=bool)
-        for c in by:
-            v = b[c].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        if held and any(held[-1][c].iloc[-1] != b[c].iloc[0] for c in by):
-            yield pd.concat(held) if len(held) > 1 else held[0]
+        change = np.flatnonzero((b[by].to_numpy()[1:] != b[by].to_numpy()[:-1]).any(axis=1)) + 1
+        if held and (held[-1][by].to_numpy()[-1] != b[by].to_numpy()[0]).any():
+            yield pd.concat(held)
             held = []
-        cuts = np.flatnonzero(change)
-        if len(cuts):
-            yield pd.concat([*held, b.iloc[: cuts[0]]]) if held else b.iloc[: cuts[0]]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                yield b.iloc[i:j]
-            held = [b.iloc[cuts[-1] :]]
+        if len(change):
+            yield pd.concat([*held, b.iloc[: change[-1]]])
+            held = [b.iloc[change[-1] :]]
         else:
             held.append(b)
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield pd.concat(held)
 
 
-def _own_pairs(g: pd.DataFrame, keys: np.ndarray, sketch: np.ndarray, rows: slice) -> np.ndarray:
-    """[rows, members] True where a pair has met in no earlier run and no earlier sampled order of this bucket."""
-    own = np.ones((len(keys[rows]), len(keys)), dtype=bool)
-    for r in range(int(g["run"].iloc[0])):
-        own &= keys[rows, r][:, None] != keys[:, r]
-    for c in g["apart"].iloc[0]:
-        own &= sketch[rows, c][:, None] != sketch[:, c]
-    return own
+def _cuts(b: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where the groups of a frame begin, and its length."""
+    v = b[by].to_numpy()
+    return np.concatenate(([0], np.flatnonzero((v[1:] != v[:-1]).any(axis=1)) + 1, [len(b)]))
 
 
-def _searched(batches, least: float):
-    """Brute force inside buckets: likely pairs, or for a bucket that is full of them its members, as (blocks, key, run, apart, a, b).
+def _earlier(leaf: int, leaves: list[np.ndarray]) -> np.ndarray:
+    """[members, leaves] incidence of the lesser leaves that two members at least are in."""
+    size = np.array([len(x) for x in leaves])
+    who, flat = np.repeat(np.arange(len(leaves)), size), np.concatenate(leaves)
+    who, flat = who[flat < leaf], flat[flat < leaf]
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    out = np.zeros((len(leaves), int(shared.sum())), dtype=np.float32)
+    keep = shared[at]
+    out[who[keep], (np.cumsum(shared) - 1)[at[keep]]] = 1
+    return out
 
-    ``blocks`` is 0 for a pair, else into how many blocks the bucket's exact sets are to be dealt.
-    """
-    columns = ["blocks", "key", "run", "apart", "a", "b"]
-    out: list[tuple] = []
-    for g in _groups(batches, ["key", "run"]):
-        n = len(g)
-        if n < 2:
-            continue
-        keys = np.stack(g["keys"].to_list())
-        sketch = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(n, SKETCH)
-        size, sid = g["size"].to_numpy(), g["sid"].to_list()
-        pairs = []
-        for at in range(0, n, 64):
-            rows = slice(at, min(n, at + 64))
-            fit = np.minimum(size[rows, None], size) >= least * np.maximum(size[rows, None], size)
-            fit &= np.arange(n) > np.arange(n)[rows, None]
-            if not fit.any():
-                continue
-            fit &= _own_pairs(g, keys, sketch, rows)
-            i, j = np.nonzero(fit)
-            for k in range(0, len(i), 1 << 16):
-                p, q = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
-                likely = np.count_nonzero(sketch[p] == sketch[q], axis=1) >= LIKELY * SKETCH
-                pairs.append((p[likely], q[likely]))
-        total = sum(len(p) for p, _ in pairs)
-        key, run, apart = int(g["key"].iloc[0]), int(g["run"].iloc[0]), list(g["apart"].iloc[0])
-        if total > PAIRS * n:
-            out += [(-(-n // BLOCK_SETS), key, run, apart, s, None) for s in sid]
-        else:
-            out += [(0, key, run, [], sid[i], sid[j]) for p, q in pairs for i, j in zip(p, q, strict=True)]
-        if len(out) > 5_000:
-            yield pd.DataFrame(out, columns=columns)
-            out = []
-    yield pd.DataFrame(out, columns=columns)
 
+def _likely(sketch: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs (p, q) may be similar, by their sizes and sketches."""
+    fit = np.flatnonzero(np.minimum(size[p], size[q]) >= least * np.maximum(size[p], size[q]) - 1e-6)
+    bar, out = likely_from(least) * SKETCH, []
+    for at in range(0, len(fit), 1 << 16):
+        some = fit[at : at + (1 << 16)]
+        out.append(some[np.count_nonzero(sketch[p[some]] == sketch[q[some]], axis=1) >= bar])
+    return np.concatenate(out) if out else fit
 
-def _split(batches):
-    """A row for each order sampled for the bucket: the child's key, and the earlier orders in which its pairs must not meet."""
-    for b in batches:
-        out = []
-        for key, run, apart, sid, keys, sketch, size in zip(b["key"], b["run"], b["apart"], b["sid"], b["keys"], b["sketch"], b["size"], strict=True):
-            order = np.random.default_rng(key & 0xFFFFFFFF).permutation(SKETCH)
-            order = [int(c) for c in order if c not in apart][:SAMPLED]
-            for i, c in enumerate(order):
-                child = int(mixed(np.array([(key & ((1 << 64) - 1)) ^ (c << 8 | sketch[c])], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
-                out.append((child, run, [*apart, *order[:i]], sid, keys, sketch, size, key, c))
-        yield pd.DataFrame(out, columns=["key", "run", "apart", "sid", "keys", "sketch", "size", "parent", "order"])
+
+def _searched(batches, least: float):
+    """Brute force inside leaves: likely pairs, or the members of a leaf (or pair of blocks) that is full of them, as (member, leaf, i, j, a, b)."""
+    by, columns = ["leaf", "i", "j"], ["member", "leaf", "i", "j", "a", "b"]
+    for b in _whole(batches, by):
+        cuts, out = _cuts(b, by), []
+        leaf, size, sid, leaves = b["leaf"].to_numpy(), b["size"].to_numpy(), b["sid"].to_list(), b["leaves"].to_list()
+        sketch = np.frombuffer(b"".join(b["sketch"]), dtype=np.uint8).reshape(len(b), SKETCH)
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        few = (np.diff(cuts) <= FEW)[group]
+        for step in range(1, FEW):
+            p = np.flatnonzero(few[:-step] & (group[:-step] == group[step:])) if step < len(b) else np.empty(0, dtype=np.int64)
+            p = p[_likely(sketch, size, p, p + step, least)]
+            for x in p:
+                common = np.intersect1d(leaves[x], leaves[x + step])
+                if common[0] == leaf[x]:
+                    out.append((False, leaf[x], 0, 0, sid[x], sid[x + step]))
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            n, pairs = end - at, []
+            if n <= FEW:
+                continue
+            i, j = (int(b[c].iloc[at]) for c in ("i", "j"))
+            earlier, block = _earlier(leaf[at], leaves[at:end]), b["block"].to_numpy()[at:end]
+            for r in range(0, n, 64):
+                rows = slice(r, min(n, r + 64))
+                own = (np.arange(n) > np.arange(n)[rows, None]) & (earlier[rows] @ earlier.T == 0)
+                if i != j:  # each block's own pairs belong to another group
+                    own &= block[rows, None] != block
+                p, q = np.nonzero(own)
+                some = _likely(sketch[at:end], size[at:end], p + r, q, least)
+                pairs.append((p[some] + r + at, q[some] + at))
+            if sum(len(p) for p, _ in pairs) > PAIRS * n:
+                out += [(True, leaf[at], i, j, s, None) for s in sid[at:end]]
+            else:
+                out += [(False, leaf[at], i, j, sid[x], sid[y]) for p, q in pairs for x, y in zip(p, q, strict=True)]
+        yield pd.DataFrame(out, columns=columns)
 
 
 def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -189,28 +211,63 @@ def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
     return both >= least * either - 1e-6 * either
 
 
-def _verified_buckets(batches, least: float):
-    """Links and a spanning star of every bucket (or pair of blocks of one), from the exact sets."""
-    for g in _groups(batches, ["key", "run", "i", "j"]):
-        keys = np.stack(g["keys"].to_list())
-        sketch = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(len(g), SKETCH)
-        link = similar([np.asarray(s, dtype=np.int64).view(np.uint64) for s in g["tokens"]], least)
-        link &= _own_pairs(g, keys, sketch, slice(0, len(g)))
-        np.fill_diagonal(link, False)
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        if i != j:  # each block's own pairs belong to another group
-            block = g["block"].to_numpy()
-            link &= block[:, None] != block
-        label = np.arange(len(g))
-        while True:
-            new = np.minimum(label, np.where(link, label, len(g)).min(axis=1))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        sid, copies = g["sid"].to_list(), g["copies"].to_numpy()
-        some = np.flatnonzero(link.any(axis=1))
-        yield pd.DataFrame({"a": [sid[x] for x in some], "b": [sid[label[x]] for x in some], "links": (link[some] @ copies).astype("int64")})
+def _verified(batches, least: float):
+    """Links and a spanning star of the members of every leaf (or pair of blocks), from the exact sets."""
+    for whole in _whole(batches, ["leaf", "i", "j"]):
+        cuts = _cuts(whole, ["leaf", "i", "j"])
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            g = whole.iloc[at:end]
+            earlier, block = _earlier(g["leaf"].iloc[0], g["leaves"].to_list()), g["block"].to_numpy()
+            link = similar([np.asarray(s, dtype=np.int64).view(np.uint64) for s in g["tokens"]], least)
+            link &= earlier @ earlier.T == 0
+            np.fill_diagonal(link, False)
+            if g["i"].iloc[0] != g["j"].iloc[0]:
+                link &= block[:, None] != block
+            label = np.arange(len(g))
+            while True:
+                new = np.minimum(label, np.where(link, label, len(g)).min(axis=1))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            sid, copies = g["sid"].to_list(), g["copies"].to_numpy()
+            some = np.flatnonzero(link.any(axis=1))
+            yield pd.DataFrame({"a": [sid[x] for x in some], "b": [sid[label[x]] for x in some], "links": (link[some] @ copies).astype("int64")})
+
+
+def _leaves(nodes: DataFrame, orders: int, report: list | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, sid, n) of every leaf with more than one member, n above BUCKET where it is alike; and the tables to delete later.
+
+    A split is one row for each member and sampled order.  Its orders are drawn by a hash of the bucket, so all members
+    agree on them and no two runs share them.
+    """
+    met = nodes.select(F.explode("keys").alias("leaf"), "sid")
+    counts = met.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    level = written(met.join(counts, "leaf").select("leaf", "sid", "n"), "buckets")
+    spent, out, depth = [level], [level.filter(F.col("n") <= BUCKET)], 0
+    large = level.filter(F.col("n") > BUCKET)
+    first, stride = F.xxhash64("leaf", F.lit(1)), F.xxhash64("leaf", F.lit(2))
+    order = lambda i: F.pmod(F.pmod(first, F.lit(SKETCH)) + i * (2 * F.pmod(stride, F.lit(SKETCH // 2)) + 1), F.lit(SKETCH)).cast("int")
+    child = lambda i: F.struct(i.alias("nth"), F.xxhash64("leaf", order(i), F.substring("sketch", order(i) + 1, F.lit(1))).alias("child"))
+    while not large.isEmpty():
+        children = large.join(nodes.select("sid", "sketch"), "sid").select("leaf", "sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), child)).alias("c"))
+        children = written(children.select(F.col("leaf").alias("parent"), "sid", "c.nth", F.col("c.child").alias("leaf")), "children")
+        sizes = children.groupBy("parent", "nth", "leaf").agg(F.count("*").alias("n"))
+        sums = sizes.groupBy("parent", "nth").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.sum("n").cast("double").alias("all"))
+        spread = written(sums.groupBy("parent").agg(((F.sum("same") / F.sum(F.col("all") * F.col("all")) >= ALIKE) | F.lit(depth >= DEPTH)).alias("stop")), "spread")
+        alike = large.join(spread.filter("stop").select(F.col("parent").alias("leaf")), "leaf").select("leaf", "sid", "n")
+        split = children.join(spread.filter(~F.col("stop")).select("parent"), "parent")
+        level = written(split.join(sizes.filter(F.col("n") > 1), ["parent", "nth", "leaf"]).select("leaf", "sid", "n"), "buckets")
+        if report is not None:
+            report.append((large.count(), alike.count(), level.count()))
+        out += [alike, level.filter(F.col("n") <= BUCKET)]
+        discarded(children)
+        spent += [level, spread]
+        large, depth = level.filter(F.col("n") > BUCKET), depth + 1
+    leaves = out[0]
+    for more in out[1:]:
+        leaves = leaves.unionByName(more)
+    return leaves, spent
 
 
 def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,11 +294,14 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels._written_to = new._written_to
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, report: list | None = None) -> DataFrame:
     """doc_id, text_hash, class_id and n_links of every row of docs(doc_id, text).
 
-    ``n_links``: other rows whose set is at least ``similarity`` alike, copies counted each.
+    ``n_links``: other rows whose set is at least ``similarity`` alike, copies counted each.  ``report`` gets, for each
+    level of splits, the members of large buckets, those of buckets that were alike, and the rows of the next level.
     """
+    if not 0 < similarity < 1 or not 0 < recall < 1:
+        raise ValueError("similarity and recall lie between 0 and 1")
     runs = runs_for(recall, similarity)
     docs = docs.select("doc_id", "text")
     light = written(_light(docs, runs), "light")
@@ -250,38 +310,19 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     nodes = worded.groupBy("sid").agg(first.alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     nodes = written(nodes.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "copies", "keys", "sketch", "size"), "nodes")
 
-    kept = ["key", "run", "apart", "sid", "keys", "sketch", "size"]
-    met = nodes.select(F.posexplode("keys").alias("run", "key"), "sid").select("key", "run", "sid")
-    counts = met.groupBy("key", "run").count().filter(F.col("count") > 1)
-    met = met.join(counts, ["key", "run"]).join(nodes.select("sid", "keys", "sketch", "size"), "sid").withColumn("apart", F.array().cast("array<int>"))
-    level = written(met.select(*kept, "count"), "buckets")
-    spent = [level]
-    ready, alike, depth = [level.filter(F.col("count") <= BUCKET).select(*kept)], [], 0
-    large = level.filter(F.col("count") > BUCKET)
-    while not large.isEmpty():
-        children = written(large.mapInPandas(_split, "key long, run int, apart array<int>, sid binary, keys array<long>, sketch binary, size int, parent long, `order` int"), "children")
-        sizes = children.groupBy("parent", "run", "order", "key").count()
-        total = Window.partitionBy("parent", "run", "order")
-        spread = sizes.withColumn("n", F.sum("count").over(total)).groupBy("parent", "run").agg((F.sum(F.col("count") * F.col("count")) / F.sum(F.col("count") * F.col("n"))).alias("alike"))
-        spread = written(spread.withColumn("stop", (F.col("alike") >= ALIKE) | F.lit(depth + 1 >= DEPTH)), "spread")
-        alike.append(large.join(spread.filter("stop").select(F.col("parent").alias("key"), "run"), ["key", "run"]).select(*kept, "count"))
-        go = children.join(spread.filter(~F.col("stop")).select("parent", "run"), ["parent", "run"])
-        child_sizes = sizes.groupBy("key", "run").agg(F.sum("count").alias("count"))
-        level = written(go.join(child_sizes, ["key", "run"]).filter(F.col("count") > 1).select(*kept, "count"), "buckets")
-        discarded(children)
-        spent += [level, spread]
-        ready.append(level.filter(F.col("count") <= BUCKET).select(*kept))
-        large, depth = level.filter(F.col("count") > BUCKET), depth + 1
-
-    search = ready[0]
-    for more in ready[1:]:
-        search = search.unionByName(more)
-    search = search.repartition("key").sortWithinPartitions("key", "run")
-    found = written(search.mapInPandas(lambda it: _searched(it, similarity), "blocks int, key long, run int, apart array<int>, a binary, b binary"), "found")
-    pairs = found.filter("blocks = 0").select("a", "b")
-    members = found.filter("blocks > 0").select("key", "run", "apart", F.col("a").alias("sid"), "blocks")
-    for more in alike:
-        members = members.unionByName(more.select("key", "run", "apart", "sid", F.ceil(F.col("count") / BLOCK_SETS).cast("int").alias("blocks")))
+    leaves, spent = _leaves(nodes, orders_for(similarity), report)
+    # a set is in one leaf for each run, in a few for each level of splits: the list is bounded by both
+    mine = leaves.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("leaf", "n"))).alias("mine"))
+    mine = written(nodes.join(mine, "sid").select("sid", "copies", "sketch", "size", "mine"), "members")
+    blocks = F.when(F.col("m.n") > BUCKET, F.ceil(F.col("m.n") / BUCKET)).otherwise(1).cast("int")
+    at = mine.select("sid", "copies", "sketch", "size", F.col("mine.leaf").alias("leaves"), F.explode("mine").alias("m"))
+    at = at.select("sid", "copies", "sketch", "size", "leaves", "m.leaf", blocks.alias("blocks"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "copies", "sketch", "size", "leaves")
+    dealt = lambda df: df.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
+    found = written(dealt(at.drop("copies")).mapInPandas(lambda it: _searched(it, similarity), "member boolean, leaf long, i int, j int, a binary, b binary"), "found")
+    pairs = found.filter(~F.col("member")).select("a", "b")
+    members = found.filter("member").select("leaf", "i", "j", F.col("a").alias("sid"))
 
     # the exact sets of what is to be verified, made again from the texts
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
@@ -304,12 +345,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     counted = links.join(copies.withColumnRenamed("sid", "b"), "b").select(F.col("a").alias("sid"), F.col("copies").alias("links"))
     counted = counted.unionByName(links.join(copies.withColumnRenamed("sid", "a"), "a").select(F.col("b").alias("sid"), F.col("copies").alias("links")))
 
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("key", "run", "apart", "sid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = blocks.join(nodes.select("sid", "keys", "sketch", "copies"), "sid").join(sets, "sid").repartition("key", "run", "i", "j").sortWithinPartitions("key", "run", "i", "j")
-    stars = written(blocks.mapInPandas(lambda it: _verified_buckets(it, similarity), "a binary, b binary, links long"), "stars")
+    full = members.join(at.select("leaf", "i", "j", "block", "sid", "copies", "leaves"), ["leaf", "i", "j", "sid"]).join(sets, "sid")
+    stars = written(dealt(full).mapInPandas(lambda it: _verified(it, similarity), "a binary, b binary, links long"), "stars")
     # links and stars hold all that follows
-    discarded(found, made, *spent)
+    discarded(found, made, mine, *spent)
     counted = counted.unionByName(stars.select(F.col("a").alias("sid"), "links")).groupBy("sid").agg(F.sum("links").alias("links"))
     classes = _components(links.unionByName(stars.select("a", "b")), nodes.select("sid", "rep"))
 

@@ -258,23 +258,41 @@ def near_texts():
     return [*out, "", None, "a", "a", "a b c", "A b, c!", *[" ".join(base)] * 3]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_join_equals_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 24, "DEPTH": 3}, {"BUCKET": 10, "ALIKE": 1.1, "PAIRS": 2, "FEW": 3, "DEPTH": 2}, {"BUCKET": 16, "ALIKE": 0.0, "PAIRS": 0}])
+def test_join_equals_brute_force(spark, limits, monkeypatch):
+    """With the limits of production, and with such low ones that buckets are split, dealt in blocks, and verified as a whole."""
     from pyspark import cloudpickle
 
-    if small:  # limits so low that buckets are split, and verified in blocks
-        for name, value in (("BUCKET", 24), ("BLOCK_SETS", 10), ("PAIRS", 2)):
-            monkeypatch.setattr(jaccard, name, value)
-        cloudpickle.register_pickle_by_value(jaccard)
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    cloudpickle.register_pickle_by_value(jaccard)
     try:
-        texts = near_texts()
-        found = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        texts, report = near_texts(), []
+        found = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), report=report).collect()}
     finally:
-        if small:
-            cloudpickle.unregister_pickle_by_value(jaccard)
+        cloudpickle.unregister_pickle_by_value(jaccard)
     links, classes = brute_links(texts)
     assert [found[i]["n_links"] for i in range(len(texts))] == links
     assert [found[i]["class_id"] for i in range(len(texts))] == classes
+    if limits:  # rows grow slowly with the levels
+        assert report and report[0][0] > limits["BUCKET"] and all(rows <= 2 * members for members, _, rows in report)
+
+
+def test_a_lower_similarity_lowers_the_sketch_bar_and_adds_runs(spark):
+    assert jaccard.likely_from(0.5) < 0.3 and jaccard.runs_for(0.99999, 0.5) > jaccard.runs_for(0.99999, 0.8)
+    texts = near_texts()
+    found = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.5).collect()}
+    links, classes = brute_links(texts, 0.5)
+    assert [found[i]["n_links"] for i in range(len(texts))] == links and [found[i]["class_id"] for i in range(len(texts))] == classes
+
+
+def test_chance_to_stay_together_is_that_of_a_simulation():
+    r = random.Random(4)
+
+    def together(s, k, depth):
+        return depth == 0 or any(r.random() < s and together(s, k, depth - 1) for _ in range(k))
+
+    assert abs(sum(together(0.8, 2, 8) for _ in range(4_000)) / 4_000 - jaccard.surviving(0.8, 2)) < 0.02
 
 
 # 7 toxicity
