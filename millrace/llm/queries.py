@@ -22,10 +22,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond the contract: spans of the models, the tokens they judged, and their log-likelihood ratio of each base span's secret."""
     docs = table(spark, sf_dir, "documents")
-    out = secrets.scan(docs, secrets.train(secrets.labelled_samples(spark, docs)))
+    models = secrets.train(secrets.labelled_samples(spark, docs))
+    out = secrets.scan(docs, models, ["doc_id", "text"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.array_sort(F.concat("base", "extra"))).alias("spans"),
+        F.size("extra").cast("long").alias("n_random"), F.size("judged").cast("long").alias("n_judged"), F.array_join(secrets.evidence(F.coalesce("text", F.lit("")), F.col("base"), models).cast("array<string>"), ",").alias("base_ratios"),
+    )
 
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
