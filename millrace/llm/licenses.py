@@ -21,7 +21,9 @@ joins, so a directory with very many files weighs no more than any other.
 Defined cases: null is the empty text, which has no license; a null path is in
 no directory; of equal scores the greater license name counts, of several
 licence files in a directory the best score, then the smallest path; repeated
-rows are scanned each; with no files there is no row.
+rows are scanned each; very long texts are cut up on the cluster, line by line
+and word by word, never in one value besides the text itself; with no files
+there is no row; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import written
+from millrace.llm._tables import discarded, written
 
 #: Licenses and the statements by which files declare them.
 TEMPLATES = (
@@ -156,8 +158,11 @@ def block_licenses(files: DataFrame, templates: list[tuple[str, str]], threshold
     windows = best.select("key", "k", "license", F.explode(F.array("l", "s")).alias("win")).select("key", "k", "license", "win.line", "win.a", "win.b").distinct()
     inside = pos.select("key", "at", "pair").join(windows, "key").filter((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b") - 1))
     counts = inside.groupBy("key", "k", "license", "line", "a", "b", "pair").agg(F.count("*").alias("c")).join(shapes.select("k", "pair", "w"), ["k", "pair"], "left")
-    scores = counts.groupBy("key", "license", "line", "a", "b").agg(F.round(F.sum(F.col("c") * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(F.col("c") * F.col("c"))), 6).alias("score"))
-    return scores.filter(F.col("score") >= threshold).groupBy("key").agg(F.max(F.struct("score", "license", F.col("line").cast("int").alias("line"))).alias("block"))
+    scores = counts.groupBy("key", "k", "license", "line", "a", "b").agg(F.round(F.sum(F.col("c") * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(F.col("c") * F.col("c"))), 6).alias("score"))
+    found = scores.filter(F.col("score") >= threshold).groupBy("key").agg(F.max(F.struct("score", "license", F.col("line").cast("int").alias("line"))).alias("block"))
+    found = written(found, "license-blocks")
+    discarded(pos, held)
+    return found
 
 
 def own_license(text: Column, idf: dict[str, float], other: float, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
@@ -177,12 +182,24 @@ def own_license(text: Column, idf: dict[str, float], other: float, templates=TEM
     idfs = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
     anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(needed)) + ")(?![a-z0-9])"
 
+    once = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))  # noqa: E731  (a value that ``of`` uses often is worked out once)
+
     def scored(line, at):
-        every = tokens(line)
-        counted = F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("t"), (F.size(F.filter(every, lambda x: x == t)) * F.coalesce(idfs[t], F.lit(other))).alias("w")))
+        """Counts from the sorted tokens, so a line of any length costs no square of its tokens."""
+        return once(F.array_sort(tokens(line)), lambda every: once(F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: (i == 1) | (F.get(every, i - 1) != F.get(every, i - 2))), lambda firsts: once(weighed(every, firsts), lambda counted: of_counts(counted, at))))
+
+    def weighed(every, firsts):
+        def one(i, j):
+            t = F.get(every, i - 1)
+            return F.struct(t.alias("t"), idfs[t].isNotNull().alias("known"), ((F.coalesce(F.get(firsts, j + 1), F.size(every) + 1) - i) * F.coalesce(idfs[t], F.lit(other))).alias("w"))
+
+        return F.transform(firsts, one)
+
+    def of_counts(counted, at):
         norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-        best = F.array_max(F.transform(F.array(*shapes), lambda s: F.struct(F.round(F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(s["w"][x["t"]], F.lit(0.0))) / norm, 6).alias("score"), s["license"].alias("license"))))
-        return F.struct(best["score"].alias("score"), best["license"].alias("license"), at.alias("line"))
+        dot = lambda known, s: F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(s["w"][x["t"]], F.lit(0.0)))
+        scores = once(norm, lambda n: once(F.filter(counted, lambda x: x["known"]), lambda known: F.array_max(F.transform(F.array(*shapes), lambda s: F.struct(F.round(dot(known, s) / n, 6).alias("score"), s["license"].alias("license"))))))
+        return once(scores, lambda best: F.struct(best["score"].alias("score"), best["license"].alias("license"), at.alias("line")))
 
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("at"))), lambda x: x["line"].rlike(anchor))
     parted = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x["line"], r"(?<=[.!?;])\s+"), lambda s: F.struct(s.alias("line"), x["at"].alias("at")))))
@@ -202,7 +219,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     rows = files.select("doc_id", "path", F.when(slash > 0, F.col("path").substr(F.lit(1), slash - 1)).otherwise(F.when(F.col("path").isNotNull(), "")).alias("dir"), F.substring_index("path", "/", -1).rlike(LICENCE_FILE).alias("is_file"), own_license(text, idf, other, templates, threshold).alias("own"), F.when(hint, F.sha2(text, 256)).alias("key"))
     rows = written(rows, "licenses")
     distinct = files.filter(hint).select(F.sha2(text, 256).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    found = written(block_licenses(distinct, blocks, threshold), "license-blocks")
+    found = block_licenses(distinct, blocks, threshold)
     judged = rows.filter(F.col("key").isNotNull()).join(found, "key", "left").withColumn("own", F.coalesce("block", "own"))
     rows = rows.filter(F.col("key").isNull()).drop("key").unionByName(judged.drop("key", "block"))
     at = rows.filter(F.col("is_file") & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), "path", F.col("own.license").alias("license"))).alias("of"))
@@ -262,12 +279,18 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     """
 
 
-#: Where the query puts documents: shards of a source; one that opens or closes with a licence statement is its shard's licence file.
-PATH_SQL = "concat(source, '/', doc_id // 1000, '/', CASE WHEN regexp_matches(coalesce(text, ''), '^[^\\n]*[Ll]icense[^\\n]*\\n') OR regexp_matches(coalesce(text, ''), '\\n[^\\n]*[Ll]icense[^\\n]*$') THEN 'LICENSE-' ELSE 'text-' END, doc_id, '.txt')"
+#: Where the query puts documents: directories of a hundred, of a thousand and of ten thousand ids below their source.  One
+#: that opens or closes with a licence statement is a licence file, and by its id lies in any of the three levels.
+_STATES = "(regexp_matches(coalesce(text, ''), '^[^\\n]*[Ll]icense[^\\n]*\\n') OR regexp_matches(coalesce(text, ''), '\\n[^\\n]*[Ll]icense[^\\n]*$'))"
+PATH_SQL = f"""concat(source, '/', doc_id // 10000, CASE WHEN {_STATES} AND doc_id % 3 = 2 THEN '' ELSE concat('/', doc_id // 1000) END,
+    CASE WHEN {_STATES} AND doc_id % 3 > 0 THEN '' ELSE concat('/', doc_id // 100) END, '/', CASE WHEN {_STATES} THEN 'LICENSE-' ELSE 'text-' END, doc_id, '.txt')"""
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """documents as files: (doc_id, path, text), see PATH_SQL."""
-    text = F.coalesce("text", F.lit(""))
+    """documents as files: (doc_id, path, text), see PATH_SQL; a null id counts as 0, its name has none."""
+    text, n = F.coalesce("text", F.lit("")), F.expr("coalesce(doc_id, 0)")
     states = text.rlike(r"\A[^\n]*[Ll]icense[^\n]*\n") | text.rlike(r"\n[^\n]*[Ll]icense[^\n]*\z")
-    return docs.select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.expr("coalesce(doc_id, 0) div 1000").cast("string"), F.lit("/"), F.when(states, "LICENSE-").otherwise("text-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")).alias("path"), "text")
+    level = lambda size, out: F.when(states & out, "").otherwise(F.concat(F.lit("/"), F.expr(f"coalesce(doc_id, 0) div {size}").cast("string")))
+    name = F.concat(F.lit("/"), F.when(states, "LICENSE-").otherwise("text-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    path = F.concat(F.coalesce("source", F.lit("")), level(10_000, F.lit(False)), level(1_000, n % 3 == 2), level(100, n % 3 > 0), name)
+    return docs.select("doc_id", path.alias("path"), "text")

@@ -34,8 +34,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond the contract: whether a page's record came back from, or lay in a gap of, archives damaged as ``warc.hurts`` says."""
     back = warc.round_trip(table(spark, sf_dir, "pages")).filter(F.col("kind") == "record")
-    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "recovered", "quarantined")
 
 
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,8 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT page_id, h, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
             SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
                    CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+                   CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to,
+                   page_id % 10 <> 3 AS recovered, page_id % 10 = 3 AS quarantined
             FROM f
         """,
         "op5_license_scan": licenses.oracle_sql(),

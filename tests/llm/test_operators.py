@@ -201,11 +201,11 @@ def test_salvage_recovers_what_follows_damage():
 def test_archives_read_back_with_their_gaps(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"text {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     warc.write(pages, f"file://{tmp_path}/w")
-    file = max(tmp_path.joinpath("w").glob("part-*"), key=lambda p: p.stat().st_size)
+    file = max(tmp_path.joinpath("w").rglob("part-*"), key=lambda p: p.stat().st_size)
     data = bytearray(file.read_bytes())
     data[data.find(b"\x1f\x8b\x08", len(data) // 2) + 60] ^= 0xFF
     file.write_bytes(bytes(data))
-    for crc in tmp_path.joinpath("w").glob(".*.crc"):
+    for crc in tmp_path.joinpath("w").rglob(".*.crc"):
         crc.unlink()
     back = warc.read(spark, f"file://{tmp_path}/w").collect()
     assert sum(r["kind"] == "gap" for r in back) == 1
@@ -222,6 +222,32 @@ def test_a_page_with_a_very_long_url_reads_back(packed, url):
     assert found[0][3]["fields"]["warc-target-uri"] == url.replace(" ", "%20")
 
 
+def test_members_of_several_records_and_broken_ones_give_their_whole_records():
+    import gzip
+
+    payloads = [(f"page {i} " * 40).encode() for i in range(5)]
+    made = [warc.record(i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), None, len(p), "2024-01-01T00:00:00Z") for i, p in enumerate(payloads)]
+    ids = lambda found: [x["fields"]["x-page-id"] for k, _, _, x in found if k == "record"]
+    stream = gzip.compress(b"".join(made))
+    assert ids(warc.salvage(stream)) == list("01234") and not [1 for k, *_ in warc.salvage(stream) if k == "gap"]
+    bad = [made[0], made[1].replace(b"page 1", b"pagf 1", 1), made[2]]
+    found = list(warc.salvage(warc.member(b"".join(bad)) + warc.member(made[3])))
+    assert ids(found) == ["0", "2", "3"] and [x for k, _, _, x in found if k == "gap"] == ["block digest"]
+    whole = gzip.compress(b"".join(made), compresslevel=0)
+    cut = list(warc.salvage(whole[: len(whole) * 7 // 10]))
+    assert ids(cut) == ["0", "1", "2"] and [k for k, *_ in cut].count("gap") >= 1
+
+
+def test_files_are_cut_by_bytes_and_damage_is_told(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"text {i} " * 200) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w", file_bytes=10_000)
+    files = [p for p in tmp_path.joinpath("w").rglob("part-*")]
+    assert 8 <= len(files) <= 30
+    back = {int(r["page_id"]): r for r in warc.read(spark, f"file://{tmp_path}/w", hurt=warc.hurts).collect()}
+    assert len(back) == 60
+    assert all(r["recovered"] == (i % 10 != 3) and r["quarantined"] == (i % 10 == 3) for i, r in back.items())
+
+
 # 4 syncmers
 
 
@@ -284,6 +310,13 @@ def test_licence_files_and_headers_are_found(spark):
     assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
 
 
+def test_inheritance_in_the_query_comes_from_several_levels(spark, sf):
+    rows = queries.op5_license_scan(spark, sf.replace("sf0.001", "sf0.01")).filter("how = 'inherited'").collect()
+    above = lambda r: r["path"].rsplit("/", 1)[0].count("/") - r["licensed_dir"].count("/")
+    assert {above(r) for r in rows} >= {0, 1, 2}
+    assert all(r["path"].startswith(r["licensed_dir"] + "/") for r in rows)
+
+
 # 6 Jaccard join
 
 
