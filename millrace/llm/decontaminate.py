@@ -11,16 +11,25 @@ could still reach 1 for some item are searched with block-max WAND over all
 words.  Items found are verified by the word trigrams of their question and of
 their answer in the window.
 
+Items are taken in indexes of a bounded number, one after the other, so neither
+the driver nor a task holds more than one of them; all weigh words by all items
+(document frequencies are counted on the cluster).  A benchmark of several
+indexes costs one pass over the documents for each.
+
 Defined cases: null and empty texts have no window and no row; an item without
-words is never found; equal items are found each under its own id; repeated
-documents are searched each, those with a null id only for ``clean``; an empty
-benchmark gives no rows.
+words is never found; equal items are found each under its own id, and items of
+one id each; repeated documents are searched each, those with a null id too; of
+windows of equal score and shares the first counts; a very long text is cut into
+windows and searched whole, in batches of its own; an empty benchmark gives no
+rows and leaves all documents; other columns are not looked at by ``leaks`` and
+come along untouched in ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import filtered
+from millrace.llm._tables import discarded, filtered, written
 from millrace.llm._text import shingles, word_hashes
 
 #: BM25's constants, the share of an item's own score that counts, the share of question and answer trigrams, items to an index.
@@ -50,7 +59,7 @@ def question_answer(text: str) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Statistics:
-    """What BM25 and the windows take from all items, however many indexes hold them."""
+    """What BM25 and the windows take from all items, however many indexes hold them; of the words, those of one index do."""
 
     items: int
     vocab: np.ndarray  # sorted word hashes
@@ -59,23 +68,12 @@ class Statistics:
     longest: int
 
     @staticmethod
-    def of(texts: Iterable[str], batch: int = SHARD_ITEMS) -> "Statistics":
-        vocab, df, have = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), []
-        items = words = longest = 0
-
-        def merged():
-            every, at = np.unique(np.concatenate([vocab, *have]), return_inverse=True)
-            return every, np.bincount(at, weights=np.concatenate([df, np.ones(len(at) - len(df))]), minlength=len(every)).astype(np.int64)
-
-        for text in texts:
-            hashes = word_hashes(text)
-            items, words, longest = items + 1, words + len(hashes), max(longest, len(hashes))
-            have.append(np.unique(hashes))
-            if len(have) == batch:
-                vocab, df = merged()
-                have = []
-        vocab, df = merged()
-        return Statistics(items, vocab, df, words / max(items, 1), longest)
+    def of(texts: Iterable[str]) -> "Statistics":
+        """Those of a few texts, without Spark."""
+        words = [word_hashes(x) for x in texts]
+        vocab, df = np.unique(np.concatenate([np.unique(w) for w in words] or [np.empty(0, dtype=np.uint64)]), return_counts=True)
+        sizes = [len(w) for w in words]
+        return Statistics(len(words), vocab, df, sum(sizes) / max(len(words), 1), max(sizes, default=0))
 
 
 @dataclass(frozen=True)
@@ -248,27 +246,50 @@ class Bm25Index:
         return [(t, i, s, q, a, -f) for (t, i), (s, q, a, f) in sorted(best.items())]
 
 
-def indexes(items: DataFrame, reach: float = REACH, shard_items: int = SHARD_ITEMS) -> list[Bm25Index]:
-    """Indexes over items(item_id, text[, question, answer]), ``shard_items`` items in each, so that each is small enough to send.
+def indexes(items: DataFrame, reach: float = REACH, shard_items: int = SHARD_ITEMS) -> Iterator[Bm25Index]:
+    """Indexes over items(item_id, text[, question, answer]), ``shard_items`` items in each, made one at a time.
 
-    All weigh words by all items, so no result depends on who shares an index.
+    Words, their document frequencies and the items' sizes are worked out on the cluster; the driver sees the rows of one
+    index.  No result depends on who shares an index.
     """
     halves = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
-    items = items.select("item_id", "text", *halves)
-
-    def read(rows):
-        for r in rows.toLocalIterator():
-            q, a = (r["question"] or "", r["answer"] or "") if r["question"] or r["answer"] else question_answer(r["text"] or "")
-            yield r["item_id"], r["text"] or f"{q} {a}", q, a
+    kind = items.schema["item_id"].dataType.simpleString()
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text", *halves)
 
-    of = Statistics.of(text for _, text, *_ in read(items))
-    shards, rows = [], []
-    for row in read(items.orderBy("item_id", "text")):
-        rows.append(row)
-        if len(rows) == shard_items:
-            shards.append(Bm25Index.build(rows, reach, of))
-            rows = []
-    return [*shards, *([Bm25Index.build(rows, reach, of)] if rows else [])]
+    def described(batches):
+        for b in batches:
+            out = []
+            for item_id, text, q, a in zip(b["item_id"], b["text"], b["question"], b["answer"], strict=True):
+                if not (q or a):
+                    q, a = question_answer(text or "")
+                text, q, a = text or f"{q or ''} {a or ''}", q or "", a or ""
+                words = word_hashes(text)
+                out.append((item_id, text, q, a, np.unique(words).view(np.int64), len(words)))
+            yield pd.DataFrame(out, columns=["item_id", "text", "question", "answer", "words", "size"])
+
+    rows = items.mapInPandas(described, "item_id string, text string, question string, answer string, words array<long>, size long")
+    rows = written(rows.withColumn("nth", F.monotonically_increasing_id()), "items")
+    n, total, longest = rows.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    df = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    known = rows.select("nth", F.explode("words").alias("word")).join(df, "word").groupBy("nth").agg(F.collect_list(F.struct("word", "df")).alias("dfs"))
+    ready = written(rows.drop("words").join(known, "nth", "left").orderBy(F.col("item_id").cast(kind), "text", "nth"), "item-words")
+    shard: list = []
+
+    def built() -> Bm25Index:
+        words = {w: c for r in shard for w, c in r["dfs"] or ()}
+        vocab = np.array(list(words), dtype=np.int64).view(np.uint64)
+        order = np.argsort(vocab)
+        of = Statistics(n, vocab[order], np.array(list(words.values()), dtype=np.int64)[order], total / n, longest)
+        return Bm25Index.build([(r["item_id"], r["text"], r["question"], r["answer"]) for r in shard], reach, of)
+
+    for row in ready.orderBy(F.col("item_id").cast(kind), "text", "nth").toLocalIterator():
+        shard.append(row)
+        if len(shard) == shard_items:
+            yield built()
+            shard = []
+    if shard:
+        yield built()
+    discarded(rows, ready)
 
 
 def _batches(texts: list) -> list[tuple[int, list[np.ndarray]]]:
@@ -283,29 +304,49 @@ def _batches(texts: list) -> list[tuple[int, list[np.ndarray]]]:
     return [*out, (first, have)] if have else out
 
 
-def leaks(docs: DataFrame, items: DataFrame, reach: float = REACH, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of every document and item it holds."""
-    found = indexes(items, reach)
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, first_word long"
+def _found(docs: DataFrame, index: Bm25Index, overlap: float) -> DataFrame:
+    """The rows of ``leaks`` for one index; ids travel as text, since pandas would turn nullable numbers into floats."""
+    schema = "doc_id string, item_id string, score double, question_overlap double, answer_overlap double, first_word long"
 
     def apply(batches):
         for b in batches:
             ids = list(b["doc_id"])
             for first, words in _batches(list(b["text"])):
-                rows = [(ids[first + t], index.ids[i], *rest) for index in found for t, i, *rest in index.leaks(words, overlap)]
+                rows = [(ids[first + t], index.ids[i], *rest) for t, i, *rest in index.leaks(words, overlap)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInPandas(apply, schema)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(apply, schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, reach: float = REACH, overlap: float = OVERLAP) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, reach: float = REACH, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of every document and item it holds."""
+    kinds = {"doc_id": docs.schema["doc_id"].dataType, "item_id": items.schema["item_id"].dataType}
+    parts: list[DataFrame] = []
+    last = None
+    for index in indexes(items, reach, shard_items):
+        if last is not None:
+            # the plan, and with it the driver, holds one index at a time
+            parts.append(written(_found(docs, last, overlap), "leaks"))
+        last = index
+    out = _found(docs, last if last is not None else Bm25Index.build([], reach), overlap)
+    for part in parts:
+        out = out.unionByName(part)
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
+def clean(docs: DataFrame, items: DataFrame, reach: float = REACH, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The documents, all columns, that hold no item."""
-    found = indexes(items, reach)
+    some = list(itertools.islice(indexes(items, reach, shard_items), 2))
+    if len(some) > 1:
+        # whether a text leaks depends on the text alone
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        found = leaks(docs.select(digest.alias("doc_id"), "text"), items, reach, overlap, shard_items)
+        found = written(found.select(F.col("doc_id").alias("_digest")).distinct(), "leaking")
+        return docs.join(found, digest == F.col("_digest"), "left_anti")
 
     def keep(texts):
-        bad = {first + t for first, words in _batches(texts) for index in found for t, *_ in index.leaks(words, overlap)}
+        bad = {first + t for first, words in _batches(texts) for index in some for t, *_ in index.leaks(words, overlap)}
         return [i not in bad for i in range(len(texts))]
 
     return filtered(docs, keep)

@@ -8,7 +8,9 @@ for that language's false-positive rate, decides.
 Defined cases: a text that is null or holds no letter is ``und`` with score 0;
 a text whose n-grams no language contains goes to the commonest learned
 language with score 0; ties go to the commoner language, then by name; with
-nothing to learn from, every text is ``und``.
+nothing to learn from, every text is ``und``; a very long text is looked up block
+by block, whole; repeated rows are told alike, each once; an empty table has no
+row; other columns come along only if ``keep`` names them, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._tables import appended, held_out
 from millrace.llm._text import blocks, char_table, code_points, mixed
 
-#: Documents of each language that a fit draws at most (expected number, drawn by a hash of the id), and n-grams that the model holds at most.
-FIT_DOCS, CAPACITY = 2_000, 400_000
+#: Documents of each language that a fit draws (expected number, drawn by a hash of the id), and n-grams of each language that the model holds at most, the commonest.
+FIT_DOCS, CAPACITY = 2_000, 100_000
+#: N-grams of a language that a task holds before it adds them up.
+HELD = 2_000_000
 
 
 def grams(text: str | None, n: int):
@@ -124,14 +128,19 @@ def fit(docs: DataFrame, n: int = 4, fit_docs: int = FIT_DOCS, capacity: int = C
     drawn = usable.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30)) < chance[F.col("lang")])
 
     def tally(batches):
-        seen: dict[str, tuple[list, int]] = {}
+        seen: dict[str, list] = {}
+        held: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 keys = [*grams(text, n)]
                 if keys:
                     seen.setdefault(lang, []).append(np.unique(np.concatenate(keys)))
-            for lang in [x for x in seen if len(seen[x]) >= 200]:
-                yield flat(lang, seen.pop(lang))
+                    held[lang] = held.get(lang, 0) + len(seen[lang][-1])
+                # whatever the number of languages, no more than this is held
+                while sum(held.values()) >= HELD:
+                    most = max(held, key=held.get)
+                    held.pop(most)
+                    yield flat(most, seen.pop(most))
         for lang, own in seen.items():
             yield flat(lang, own)
 
@@ -144,9 +153,10 @@ def fit(docs: DataFrame, n: int = 4, fit_docs: int = FIT_DOCS, capacity: int = C
     drawn_of = F.create_map(*[F.lit(x) for name in names for x in (name, float(min(sizes[name], fit_docs)))])
     rate = F.col("docs") / drawn_of[F.col("lang")]
     table = table.withColumn("rate", rate).filter((F.col("docs") >= F.least(F.lit(least_docs), F.ceil(drawn_of[F.col("lang")] / 2))) & (F.col("rate") >= 0.005))
+    # a bound for each language, so that further languages push nothing out
+    table = table.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))).filter(F.col("nth") <= capacity)
     table = table.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("in"))
-    table = table.select("gram", "top", F.filter("in", lambda x: x["rate"] >= F.col("top") * share)["lang"].alias("langs"))
-    model = table.orderBy(F.desc("top"), "gram").limit(capacity).collect()
+    model = table.select("gram", F.filter("in", lambda x: x["rate"] >= F.col("top") * share)["lang"].alias("langs")).orderBy("gram").collect()
     keys = np.array([r["gram"] for r in model], dtype=np.int64).view(np.uint64)
     masks = [np.zeros(len(keys), dtype=np.uint64) for _ in range(-(-len(names) // 64))]
     for i, r in enumerate(model):

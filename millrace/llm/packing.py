@@ -15,7 +15,9 @@ the smallest size that holds its content.
 Defined cases: texts longer than the largest size are cut into full pieces and a
 remainder; null and empty texts are one piece of 0 tokens in no bin (null); ties
 between pieces of one length go by id, piece, then a hash of the text; repeated
-rows are separate pieces; an empty table has no rows.
+rows are separate pieces; an empty table has no rows; other columns are not
+looked at, whatever their names.  Lengths are counted in words and single marks,
+as ``token_count`` says, not in the tokens of any model's vocabulary.
 """
 
 from __future__ import annotations

@@ -6,10 +6,14 @@ features is kernel ridge at linear cost.  Groups of rows sum their normal
 equations on the executors; the driver adds a few small matrices, solves, and
 fits an isotonic curve on out-of-fold scores.
 
-Defined cases: null and empty texts have statistics (zeros) and a score; rows
-with a null label are no training rows; with no training row, or one class
-only, every score is that class's share (0.5 for none); repeated rows are
-scored alike, each once.
+Defined cases: null and empty texts have statistics (zeros) and a score; a very
+long text is described whole; rows with a null label or id are no training rows;
+with no training row, or one class only, every score is that class's share (0.5
+for none); an id that is labelled, or found, several times trains with each
+pair, within the bound; equal fitted values share a level of the calibration;
+repeated rows are scored alike, each once; an empty table has no row; other
+columns come along only if ``keep`` names them (in ``accepted``: all, untouched),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import appended, bounded_sample, filtered, held_out, written
+from millrace.llm._tables import appended, bounded_sample, discarded, filtered, held_out, written
 from millrace.llm._text import char_table, code_points, word_hashes
 
 #: Characters that count as symbols, and as marks of ordinary sentences.
@@ -109,15 +113,17 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = 200, ridge: float = 1e-
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "x": list(_stats_of(b))})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(describe, "doc_id string, y double, x array<double>")
-    group = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS * PARTS)).cast("int")
-    # bounded: at most fit_rows short vectors, summed in FOLDS * PARTS groups
-    rows = written(rows.withColumn("part", group), "quality-fit")
+    group = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS * PARTS)).cast("int")  # an id's rows share a fold
+    # at most fit_rows short vectors, also where very many documents share a labelled id, summed in FOLDS * PARTS groups
+    made = written(rows.withColumn("part", group), "quality-fit")
+    rows = bounded_sample(made, F.struct("doc_id", "x"), fit_rows)
     d = len(STATISTICS)
     rng = np.random.default_rng(seed)
     base = QualityModel(np.zeros(d), np.ones(d), rng.normal(size=(d, width)) / bandwidth, rng.uniform(0, 2 * np.pi, width), np.zeros(width + 1), np.array([0.0]), np.array([0.5]))
     moments = rows.select(F.count("*").alias("n"), F.avg("y").alias("share"), *[f(F.col("x")[i]).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     n, share = moments["n"], moments["share"]
     if not n or share in (0.0, 1.0):
+        discarded(made)
         return QualityModel(*[getattr(base, k) for k in ("mean", "scale", "weights", "shift", "ridge", "knots")], np.array([0.5 if not n else share]))
     mean = np.array([moments[f"m{i}"] for i in range(d)])
     scale = np.array([moments[f"s{i}"] or 1.0 for i in range(d)])
@@ -147,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = 200, ridge: float = 1e-
                 yield pd.DataFrame({"s": np.einsum("ij,ij->i", phi, np.stack([without[f] for f in fold])), "y": pdf["y"]})
 
     scored = rows.select("part", "x", "y").mapInPandas(unseen, "s double, y double").toPandas()
+    discarded(made)
     knots, levels = isotonic(scored["s"].to_numpy(), scored["y"].to_numpy())
     return QualityModel(base.mean, base.scale, base.weights, base.shift, solve(a, b), knots, levels)
 

@@ -10,7 +10,12 @@ Defined cases: null is the empty text, whose fingerprint is empty; a text
 shorter than k has one anchor, the whole text; equal texts have equal
 fingerprints and likeness 1, also two empty ones; an empty text is unlike any
 other (0).  Rows with one id are ordered by a hash of their text, null ids come
-last in descending order; the only document of a table is its own neighbour.
+last in descending order; the only document of a table is its own neighbour;
+repeated rows are neighbours of each other.  A very long text is hashed block by
+block, whole.  An empty table has no row; other columns are not looked at,
+whatever their names.  Ids are whole numbers.  A fingerprint holds five bytes for
+each anchor (about a fourteenth of the k-mers), base64: some half a byte for each
+character of a text.
 """
 
 from __future__ import annotations

@@ -6,9 +6,14 @@ the categories before it.  In training those come from models that did not see
 the row (out-of-fold), in scoring from the models of the chain.
 
 Defined cases: null and empty texts have no words and are scored by the
-intercepts and their statistics; a null label leaves its row out of that
-category; a category with no positive or no negative row has that constant
-probability; repeated rows are scored alike; without labels all probabilities are 0.
+intercepts and their statistics; a very long text is described whole; a null
+label leaves its row out of that category; a category with no positive or no
+negative row has that constant probability; words of equal chi-square are taken
+in order of their hashes, equal probabilities stay on one side of a threshold;
+an id that is labelled, or found, several times trains with each pair, within
+the bound; repeated rows are scored alike; without labels all probabilities are
+0; an empty table has no row; other columns come along only if ``keep`` names
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._tables import appended, bounded_sample, written
+from millrace.llm._tables import appended, bounded_sample, discarded, written
 from millrace.llm._text import word_hashes, word_heads
 from millrace.llm.quality import STATISTICS, statistics
 
@@ -135,10 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
             yield b[["doc_id", *categories]].assign(stats=[s for s, _ in own], words=[w.view(np.int64) for _, w in own])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in categories) + ", stats array<double>, words array<long>"
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(describe, schema), "toxicity-fit")
+    made = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(describe, schema), "toxicity-fit")
+    # also where very many documents share a labelled id
+    rows = bounded_sample(made, F.struct("doc_id", "stats"), fit_rows)
     totals = rows.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"p_{c}") for c in categories]).first()
     n, d = totals["n"], len(STATISTICS)
     if not n:
+        discarded(made)
         return Chain(tuple(categories), np.empty(0, dtype=np.uint64), np.zeros(d), np.ones(d), (0.0,) * len(categories), (0.5,) * len(categories))
     # chi-square of word presence against each category, over the drawn rows
     seen = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(*[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"p_{c}") for c in categories])
@@ -153,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int
     best = best.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").select("word").limit(words)
     chosen = np.sort(np.array([r["word"] for r in best.collect()], dtype=np.int64).view(np.uint64))
     local = rows.select(*categories, "stats", F.array_intersect("words", _words_literal(chosen)).alias("words"), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(folds)).alias("fold")).toPandas()
+    discarded(made)
     stats = np.stack(local["stats"])
     base = Chain(tuple(categories), chosen, stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6), ())
     x = np.stack([base.row(s, np.asarray(w, dtype=np.int64).view(np.uint64)) for s, w in zip(stats, local["words"], strict=True)])

@@ -60,6 +60,39 @@ def test_bloom_masks_have_every_language_and_few_more():
     assert np.allclose(seen, model.false_positive(), atol=0.01)
 
 
+def test_predictions_equal_those_of_exact_sets(spark, sf):
+    """The Bloom filter against a dictionary that holds each n-gram's languages."""
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs)
+    learned = docs.filter(F.col("lang").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("lang", "text").collect()
+    held: dict = {}
+    sizes: dict = {}
+    for r in learned:
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
+        for g in {int(x) for keys in langid.grams(r["text"], model.n) for x in keys}:
+            held.setdefault(g, {}).setdefault(r["lang"], 0)
+            held[g][r["lang"]] += 1
+    exact = {}
+    for g, of in held.items():
+        rate = {lang: c / sizes[lang] for lang, c in of.items() if c >= min(3, -(-sizes[lang] // 2)) and c / sizes[lang] >= 0.005}
+        if rate:
+            exact[g] = {lang for lang, x in rate.items() if x >= 0.1 * max(rate.values())}
+    names = sorted(sizes, key=lambda x: (-sizes[x], x))
+    assert model.names == tuple(names)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    same = 0
+    for r in docs.collect():
+        grams = [int(x) for keys in langid.grams(r["text"], model.n) for x in keys]
+        hits = [sum(n in exact.get(g, ()) for g in grams) for n in names]
+        want = (names[int(np.argmax(hits))], max(hits) / sum(hits)) if sum(hits) else None
+        if want:
+            same += got[r["doc_id"]]["lang_pred"] == want[0]
+            assert abs(got[r["doc_id"]]["score"] - want[1]) < 0.05 or len(grams) < 60
+        else:
+            same += 1
+    assert same >= 0.99 * len(got)
+
+
 # 2 secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -424,6 +457,48 @@ def test_logistic_is_the_minimum():
     assert np.abs(slope).max() < 1e-2
 
 
+def test_chain_equals_a_direct_computation(spark):
+    """Each model is the regression on all features and the out-of-fold probabilities before it; scoring chains the models."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(WORDS, k=40) + (["zzblarg"] if i % 4 == 0 else []) + (["qqthreat"] if i % 8 == 0 else []))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 8 == 0)) for i in range(240)], "doc_id long, a int, b int")
+    chain = toxicity.fit(docs, labels, ["a", "b"])
+    fold = {x["doc_id"]: x["f"] for x in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    described = [toxicity.features(t) for _, t in rows]
+    stats = np.stack([x for x, _ in described])
+    assert np.allclose(chain.mean, stats.mean(axis=0)) and np.allclose(chain.scale, np.maximum(stats.std(axis=0), 1e-6))
+    # the words kept: all whose chi-square with a label is high enough
+    want = set()
+    for y in (np.array([i % 4 == 0 for i in range(240)]), np.array([i % 8 == 0 for i in range(240)])):
+        every = {}
+        for (_, words), mark in zip(described, y, strict=True):
+            for w in words:
+                every.setdefault(int(w), [0, 0])[0 if mark else 1] += 1
+        p, n = y.sum(), 240 - y.sum()
+        for w, (a, b) in every.items():
+            if 0 < a + b < 240 and 240 * (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * (240 - a - b) * p * n) >= toxicity.LEAST_CHI2:
+                want.add(w)
+    assert set(chain.words.tolist()) == want
+    x = np.stack([chain.row(s, w) for s, w in described])
+    folds, done, models = np.array([fold[i] for i, _ in rows]), np.zeros((240, 0)), []
+    for at, y in enumerate([np.array([float(i % k == 0) for i in range(240)]) for k in (4, 8)]):
+        full = np.hstack([x[:, :-1], done, x[:, -1:]]).astype(np.float32)
+        unseen = np.zeros(240)
+        for f in range(toxicity.FOLDS):
+            z = full[folds == f] @ toxicity.logistic(full[folds != f], y[folds != f])
+            unseen[folds == f] = 1 / (1 + np.exp(-z))
+        models.append(toxicity.logistic(full, y))
+        assert np.abs(1 / (1 + np.exp(-full @ models[at])) - 1 / (1 + np.exp(-full @ chain.models[at]))).max() < 0.02
+        done = np.hstack([done, unseen[:, None]])
+    got = {g["doc_id"]: (g["p_a"], g["p_b"]) for g in toxicity.predict(docs, chain).collect()}
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for (i, _), own in zip(rows, x, strict=True):
+        first = sigmoid(own @ chain.models[0])
+        second = sigmoid(np.concatenate([own[:-1], [first], own[-1:]]) @ chain.models[1])
+        assert abs(got[i][0] - first) < 1e-6 and abs(got[i][1] - second) < 1e-6
+
+
 # 8 packing
 
 
@@ -524,6 +599,19 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, sf):
     assert kept == set(docs) - {d for d, _ in got}
 
 
+def test_leaks_and_clean_over_several_indexes(spark):
+    r = random.Random(22)
+    items = spark.createDataFrame([(i, " ".join(r.choices(WORDS, k=20)) + ". " + " ".join(r.choices(WORDS, k=6))) for i in range(30)], "item_id long, text string")
+    texts = [x["text"] for x in items.orderBy("item_id").collect()]
+    rows = [(i if i % 9 else None, " ".join(r.choices(WORDS, k=30)) + (" " + texts[i % 30] if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(7))
+    one, many = (sorted((x["doc_id"] or -1, x["item_id"], x["first_word"]) for x in decontaminate.leaks(docs, items, shard_items=n).collect()) for n in (100, 7))
+    assert one == many and len(one) == 30 and sum(d == -1 for d, *_ in one) == sum(1 for i, (d, _) in enumerate(rows) if i % 2 and d is None)
+    for n in (100, 7):
+        left = decontaminate.clean(docs, items, shard_items=n)
+        assert left.columns == docs.columns and sorted(x["text"] for x in left.collect()) == sorted(t for i, (_, t) in enumerate(rows) if i % 2 == 0)
+
+
 def test_results_do_not_depend_on_the_indexes_that_hold_items(spark):
     r = random.Random(21)
     items = [(i, " ".join(r.choices(WORDS, k=r.randint(12, 60))) + ". " + " ".join(r.choices(WORDS, k=6))) for i in range(45)]
@@ -552,6 +640,49 @@ def test_isotonic_equals_the_least_squares_fit():
     assert all(abs(fit[i] - means(i)) < 1e-9 for i in range(0, 200, 17)) and (np.diff(fit) >= -1e-12).all()
 
 
+def test_ridge_solves_the_normal_equations(spark):
+    """The summed equations against one regression over all rows, and the calibration against out-of-fold fits."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(WORDS, k=r.randint(20, 60))) + ("!!! $$$ ###" * (i % 3) if i % 2 else ".")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {i: int(i % 2 == 0 or i % 7 == 0) for i, _ in rows}
+    model = quality.fit(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int"), width=40)
+    held = {x["doc_id"]: x for x in docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("h"), (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(quality.FOLDS * quality.PARTS)) % quality.FOLDS).alias("f")).collect()}
+    used = [(i, t) for i, t in rows if not held[i]["h"]]
+    x, y = np.array([quality.statistics(t) for _, t in used]), np.array([float(marks[i]) for i, _ in used])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0), 1e-6), atol=1e-6)
+    phi, share, k = model.features(x), y.mean(), 41
+    w = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+
+    def solved(keep):
+        root = np.sqrt(w[keep])[:, None]
+        # ridge as least squares with penalty rows, not as normal equations
+        a = np.vstack([phi[keep] * root, np.sqrt(1e-3 * len(y) / k) * np.eye(k)])
+        return np.linalg.lstsq(a, np.concatenate([y[keep] * root[:, 0], np.zeros(k)]), rcond=None)[0]
+
+    assert np.allclose(model.ridge, solved(np.ones(len(y), dtype=bool)), atol=1e-6)
+    fold = np.array([held[i]["f"] for i, _ in used])
+    unseen = np.zeros(len(y))
+    for f in range(quality.FOLDS):
+        unseen[fold == f] = phi[fold == f] @ solved(fold != f)
+    knots, levels = quality.isotonic(unseen, y)
+    grid = np.linspace(unseen.min(), unseen.max(), 50)
+    assert np.allclose(np.interp(grid, knots, levels), np.interp(grid, model.knots, model.levels), atol=1e-4)
+    got = {g["doc_id"]: g for g in quality.score(docs, model).collect()}
+    for i, t in rows:
+        want = np.clip(np.interp((model.features(quality.statistics(t)[None]) @ model.ridge)[0], model.knots, model.levels), 0, 1)
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == int(want >= 0.7)
+
+
+def test_fits_stay_bounded_where_one_labelled_id_has_most_rows(spark):
+    docs = spark.createDataFrame([(1, prose(8, i)) for i in range(300)] + [(i, prose(8, i)) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, fit_rows=50)
+    assert len(model.knots) <= 100
+    chain = toxicity.fit(docs, labels, ["toxic"], fit_rows=50)
+    assert toxicity.predict(docs, chain).count() == 358
+
+
 def test_quality_held_out_accuracy(spark, sf):
     found = queries.op10_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
     assert found and sum(r["predicted"] == r["quality"] for r in found) >= 0.85 * len(found)
