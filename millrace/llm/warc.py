@@ -234,10 +234,10 @@ def salvage(content: bytes, packed: bool = True) -> Iterator[tuple[str, int, int
         at = end
 
 
-def damaged(content: bytes, hurt: Callable[[dict], bool]) -> bytes:
-    """A copy of an archive in which a byte in the middle of each record that ``hurt`` picks is inverted."""
+def damaged(content: bytes, found: list, hurt: Callable[[dict], bool]) -> bytes:
+    """A copy of an archive in which a byte in the middle of each record that ``hurt`` picks is inverted; ``found``: its records and gaps."""
     out = bytearray(content)
-    for kind, start, end, what in salvage(content):
+    for kind, start, end, what in found:
         if kind == "record" and hurt(what["fields"]):
             out[(start + end) // 2] ^= 0xFF
     return bytes(out)
@@ -255,16 +255,17 @@ def read(spark: SparkSession, path: str, payloads: bool = True, hurt: Callable[[
     def apply(batches):
         for b in batches:
             for archive, content in zip(b["path"], b["content"], strict=True):
-                content, out, again, gaps = bytes(content), [], None, []
+                content, out, again, gaps = bytes(content), [], {}, []
+                found = salvage(content)
                 if hurt:
-                    again = {}
-                    for kind, start, end, what in salvage(damaged(content, hurt)):
+                    found = [(k, a, e, x if k == "gap" or payloads else x | {"payload": None}) for k, a, e, x in found]
+                    for kind, start, end, what in salvage(damaged(content, found, hurt)):
                         if kind == "gap":
                             gaps.append((start, end))
                         else:
                             again[start] = what["fields"].get("warc-record-id")
                 begins = [start for start, _ in gaps]
-                for kind, start, end, what in salvage(content):
+                for kind, start, end, what in found:
                     if kind == "gap":
                         out.append((kind, archive, start, end, what, *[None] * 10))
                     else:
