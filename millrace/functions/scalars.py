@@ -236,15 +236,19 @@ def _json_get(s, pointer):
 
 
 def _pointed(doc: Column, pointer: Column) -> Column:
-    """Pointers that differ from row to row: an Arrow UDF, the one function that has no built-in form."""
+    """Pointers that differ from row to row: an Arrow UDF, the one function that has no built-in form; one that is none gives NULL."""
 
     @F.pandas_udf("string")
     def look(docs: pd.Series, pointers: pd.Series) -> pd.Series:
         def one(d, p):
             try:
+                if p and not p.startswith("/"):
+                    return None
                 at = json.loads(d)
                 for part in (p.split("/")[1:] if p else []):
                     key = part.replace("~1", "/").replace("~0", "~")
+                    if isinstance(at, list) and key != "0" and not (key.isascii() and key.isdigit() and key[0] != "0"):
+                        return None
                     at = at[int(key)] if isinstance(at, list) else at[key]
                 return None if at is None else json.dumps(at)
             except (ValueError, KeyError, IndexError, TypeError, AttributeError):

@@ -61,6 +61,10 @@ class Fold:
     def deadline(self, state: dict) -> int | None:
         return None
 
+    def worthless(self, state: dict) -> int | None:
+        """From when on the state is as good as none, so that it may be removed; None: never."""
+        return None
+
     def expire(self, state: dict, at: int) -> list[tuple]:
         """What happens at the deadline ``at``; must change the state so that the deadline moves."""
         return []
@@ -112,6 +116,9 @@ class Keyed(Fold):
         emit = self.change(state, values, first)
         return [row] if (self.emit_first if first else emit) else []
 
+    def worthless(self, state):
+        return state["seen"] + self.ttl if self.ttl and "seen" in state else None
+
     def change(self, state: dict, values: list, first: bool) -> bool:
         raise NotImplementedError
 
@@ -175,6 +182,9 @@ class Deduplicate(Fold):
 
     ttl: int = 1
 
+    def worthless(self, state):
+        return state["let"] + self.ttl if "let" in state else None
+
     def row(self, state, now, row):
         if "let" in state and now - state["let"] < self.ttl:
             return []

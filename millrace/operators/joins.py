@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,14 +17,14 @@ from millrace.functions.types import is_float
 from millrace.operators.ordering import numbered
 from millrace.operators.windows import micros
 
-#: Rows up to which a reference table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a reference table is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def _small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def _small(table: DataFrame) -> DataFrame:
     """A broadcast hint where Spark's own statistics prove the size, else the table as it is."""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(table) if size <= 64 << 20 else table
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def _same(a: Column, b: Column, t: T.DataType) -> Column:
@@ -67,11 +68,12 @@ def follow_latest(batch: DataFrame, tables, name: str, on: list[tuple[str, str]]
     return lookup(batch, tables.get(name), on, keep, inner)
 
 
-def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]], dict[tuple, dict]], added: T.StructType, on_error: str = "fail", batch_keys: int = 256, cache_keys: int = 10_000) -> DataFrame:
+def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]], dict[tuple, dict]], added: T.StructType, on_error: str = "fail", batch_keys: int = 256, cache_keys: int = 10_000, cache_ttl: float | None = None) -> DataFrame:
     """Lookup in an external store: ``fetch`` gets a list of keys and returns rows by key.
 
     Keys are asked for in batches, each once while it is among the last ``cache_keys``; order is kept.  A NULL key is a
-    miss.  ``on_error``: ``fail``, ``null`` (columns NULL) or ``drop`` (row dropped).
+    miss.  ``on_error``: ``fail``, ``null`` (columns NULL) or ``drop`` (row dropped).  ``cache_ttl``: seconds after which a
+    key is asked for again.
     """
     if on_error not in ("fail", "null", "drop"):
         raise QueryError("on_error is fail, null or drop")
@@ -79,7 +81,11 @@ def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]],
 
     def apply(batches: Iterator[pd.DataFrame]):
         cache: dict[tuple, dict | None] = {}
+        asked: dict[tuple, float] = {}
         for b in batches:
+            now = time.monotonic()
+            for k in [k for k, at in asked.items() if cache_ttl is not None and at + cache_ttl <= now]:
+                del cache[k], asked[k]
             keys = [tuple(k) for k in b[on].itertuples(index=False, name=None)]
             usable = [not any(pd.isna(x) for x in k) for k in keys]
             failed: set[tuple] = set()
@@ -89,6 +95,7 @@ def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]],
                 try:
                     got = fetch(part)
                     cache.update({k: got.get(k) for k in part})
+                    asked.update(dict.fromkeys(part, time.monotonic()))
                 except Exception:
                     if on_error == "fail":
                         raise
@@ -97,7 +104,8 @@ def external_lookup(df: DataFrame, on: list[str], fetch: Callable[[list[tuple]],
             out = b.assign(**{c: [r.get(c) for r in found] for c in columns})
             yield out[[k not in failed for k in keys]] if on_error == "drop" else out
             while len(cache) > cache_keys:
-                cache.pop(next(iter(cache)))
+                oldest = next(iter(cache))
+                del cache[oldest], asked[oldest]
 
     return df.mapInPandas(apply, T.StructType([*[df.schema[c] for c in names], *added.fields]))
 
@@ -133,33 +141,20 @@ def _joined(a: DataFrame, b: DataFrame, keys: list, types: list, more: Column, m
 def interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], before: int, after: int, mode: str = "inner", orders: tuple[list[str], list[str]] = ((), ()), prefixes: tuple[str, str] = ("left_", "right_")) -> DataFrame:
     """Pairs with equal keys and ``right_time`` in ``[left_time - before, left_time + after]``, both ends included.
 
-    Time is cut in buckets of the interval's length, each left row looks at the two its interval touches: the join is an
-    equi-join on keys and bucket, so one very common key is spread over time instead of meeting in one task.
+    Time is cut in buckets of the interval's length.  A left row is in the bucket of its time, a right row in the two at
+    most whose times could match it: one equi-join on keys and bucket, inner or left, so one very common key is spread over
+    time, no pair shows twice and no row needs a number.  ``orders`` number the rows of each side for the ordinals.
     """
     if before < 0 or after < 0:
         raise QueryError("interval bounds are not negative")
     a, b = _sides(left, right, keys, times, (list(orders[0]), list(orders[1])), prefixes)
     width = before + after + 1
     bucket = lambda t: F.call_function("div", t - F.pmod(t, F.lit(width)), F.lit(width).cast("long"))
-    b = b.withColumn("_rb", bucket(F.col("_rt")))
+    a = a.withColumn("_lb", bucket(F.col("_lt")))
+    low, high = bucket(F.col("_rt") - after), bucket(F.col("_rt") + before)
+    b = b.withColumn("_rb", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
     fits = F.col("_rt").between(F.col("_lt") - before, F.col("_lt") + after)
-    types = [left.schema[k].dataType for k, _ in keys]
-    # a row without a time or key still shows in a left join
-    low, high = bucket(F.col("_lt") - before), bucket(F.col("_lt") + after)
-    spread = a.withColumn("_lb", F.explode_outer(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
-    inner = _joined(spread, b, keys, types, (F.col("_lb") == F.col("_rb")) & fits, "inner")
-    if mode == "inner":
-        return inner
-    if mode != "left":
-        raise QueryError("a stream join is inner or left")
-    if not orders[0]:
-        # without a number of arrival rows cannot be told apart later: one left join over the keys
-        return _joined(a, b, keys, types, fits, "left")
-    matched = inner.select(F.col("join_left_ordinal").alias("_m")).distinct()
-    lone = a.join(matched, F.col("_ln") == F.col("_m"), "left_anti")
-    blank = [F.lit(None).cast(inner.schema[c].dataType).alias(c) for c in inner.columns if c not in a.columns and not c.startswith("join_")]
-    lone = lone.select(*[F.col(f"`{c}`") for c in a.columns if not c.startswith(("_lk", "_lt", "_ln"))], *blank, F.col("_lt").alias("join_time"), F.col("_ln").alias("join_left_ordinal"), F.lit(None).cast("long").alias("join_right_ordinal"))
-    return inner.unionByName(lone)
+    return _joined(a, b, keys, [left.schema[k].dataType for k, _ in keys], (F.col("_lb") == F.col("_rb")) & fits, mode)
 
 
 def window_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], size: int, mode: str = "inner", orders: tuple[list[str], list[str]] = ((), ()), prefixes: tuple[str, str] = ("left_", "right_")) -> DataFrame:

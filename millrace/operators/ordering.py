@@ -13,13 +13,20 @@ ONE_TASK_ROWS, RANGES = 50_000, 1_024
 def _ranged(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, int]:
     """``df`` with ``_range``: a row of a lower range comes before any of a higher one; equal values share one."""
     first = df.schema[order_by[0]].dataType
-    if not isinstance(first, T.NumericType | T.TimestampType | T.TimestampNTZType | T.DateType):
+    if not isinstance(first, T.NumericType | T.TimestampType | T.TimestampNTZType | T.DateType | T.StringType):
         return df.withColumn("_range", F.lit(0)), 1
     n = df.count()
     ranges = min(RANGES, -(-n // ONE_TASK_ROWS))
     if ranges <= 1:
         return df.withColumn("_range", F.lit(0)), 1
     c = F.col(f"`{order_by[0]}`")
+    if isinstance(first, T.StringType):
+        # cuts from a draw of heads, in the order of their bytes; equal heads share a range
+        head = F.substring(c, 1, 64)
+        drawn = sorted(r[0].encode() for r in df.select(head).filter(c.isNotNull()).sample(min(1.0, 20 * ranges / n), seed=1).limit(40 * ranges).collect())
+        cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
+        array = F.array(*[F.lit(x.decode()) for x in cuts]) if cuts else F.array().cast("array<string>")
+        return df.withColumn("_range", F.when(c.isNull(), 0).otherwise(F.size(F.filter(array, lambda x: x <= head)))), len(cuts) + 1
     number = c.cast("double") if isinstance(first, T.NumericType) else F.unix_micros(c.cast("timestamp")).cast("double")
     cuts = sorted(set(df.select(number.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
     array = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")

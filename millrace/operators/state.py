@@ -54,6 +54,16 @@ def _clock(df: DataFrame, clock: str | None) -> Column:
     return micros(F.col(f"`{clock}`"), df.schema[clock].dataType) if clock else F.lit(0).cast("long")
 
 
+def _clocked(df: DataFrame, w, ttl: int, clock: str | None) -> DataFrame:
+    """With a time to live, the key's clock, which never runs backwards, as ``_now``."""
+    return df.withColumn("_now", F.max(_clock(df, clock)).over(w.rowsBetween(Window.unboundedPreceding, 0))) if ttl else df
+
+
+def _remembered(before: Column, w, ttl: int) -> Column:
+    """What the valid row before left behind, unless it is forgotten by now."""
+    return F.when(F.lag("_now").over(w) + ttl > F.col("_now"), before) if ttl else before
+
+
 def _kept(df: DataFrame, emit: Column, columns: list[str]) -> DataFrame:
     return df.withColumn("_emit", emit).filter("_emit").select(*[F.col(f"`{c}`") for c in columns])
 
@@ -70,11 +80,11 @@ def _fold(df: DataFrame, fold: folds.Fold, clock: str | None, order_by: list[str
 def change_detect(df: DataFrame, keys: list[str], fields: list[str], order_by: list[str], emit_first: bool = True, invalid: str = "error", ttl: int = 0, clock: str | None = None) -> DataFrame:
     """Rows in which any field differs from the key's valid row before."""
     w = _ordered(df, keys, order_by)
-    if ttl or df.isStreaming:
+    if df.isStreaming:
         return _fold(df, folds.ChangeDetect(keys=keys, fields=fields, invalid=invalid, emit_first=emit_first, ttl=ttl), clock, order_by)
-    rows = _valid(df, fields, invalid)
+    rows = _valid(_clocked(df, w, ttl, clock), fields, invalid)
     now = F.struct(*[F.col(f"`{f}`") for f in fields])
-    before = F.lag(now).over(w)
+    before = _remembered(F.lag(now).over(w), w, ttl)
     return _kept(rows, F.when(before.isNull(), F.lit(emit_first)).otherwise(before != now), df.columns)
 
 
@@ -83,11 +93,11 @@ def deadband(df: DataFrame, keys: list[str], field: str, threshold: float, order
     if baseline not in ("last_input", "last_output"):
         raise QueryError("baseline is last_input or last_output")
     w = _ordered(df, keys, order_by)
-    if ttl or baseline == "last_output" or df.isStreaming:
+    if baseline == "last_output" or df.isStreaming:
         return _fold(df, folds.Deadband(keys=keys, fields=[field], invalid=invalid, emit_first=emit_first, ttl=ttl, threshold=threshold, relative=relative, last_output=baseline == "last_output"), clock, order_by)
-    rows = _valid(df, [field], invalid)
+    rows = _valid(_clocked(df, w, ttl, clock), [field], invalid)
     x = F.col(f"`{field}`").cast("double")
-    before = F.lag(x).over(w)
+    before = _remembered(F.lag(x).over(w), w, ttl)
     gap = F.abs(x - before)
     moved = F.when(before == 0, x != 0).otherwise(gap / F.abs(F.when(before != 0, before)) > threshold) if relative else gap > threshold
     return _kept(rows, F.when(before.isNull(), F.lit(emit_first)).otherwise(moved), df.columns)

@@ -205,7 +205,10 @@ class Engine:
         if not least <= len(args) <= most:
             raise QueryError(f"{name.upper()}: {least} to {most} arguments")
         times = _oriented(args[0], args[1], {q.table, a}, {join.table, b}, stream.df.columns, other.df.columns)
-        orders = (stream.order_by, other.order_by)
+        # rows are numbered only where the statement asks for their numbers
+        named = {part for item in q.items if item.expr for e in front.walk(item.expr) if e["k"] == "ref" for part in e["parts"]} | {part for e in (front.walk(q.where) if q.where else ()) if e["k"] == "ref" for part in e["parts"]}
+        every = any(item.expr is None for item in q.items)
+        orders = tuple(s.order_by if every or f"join_{side}_ordinal" in named else [] for s, side in ((stream, "left"), (other, "right")))
         mode, prefixes = "inner" if join.inner else "left", (f"{a}_", f"{b}_")
         if name == "interval_match":
             df = joins.interval_join(stream.df, other.df, keys, times, front.micros_of(args[2]), front.micros_of(args[3]), mode, orders, prefixes)

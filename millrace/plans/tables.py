@@ -1,13 +1,15 @@
 """Reference tables in revisions: immutable Parquet snapshots with compare-and-set mutation.
 
-A revision is a folder ``<root>/<table>/r<number>`` with data and a manifest row;
-folders appear under their final name only when complete.  Works on any file
-system that Spark can reach.
+Rows lie in a folder of their own, ``<root>/<table>/data-<unique>``.  A revision
+is a manifest file ``r<number>.json`` that names them; it is created only if it is
+not there yet, so of two writers one publishes and the other learns of it, and
+neither sees the other's rows.  Works on any file system that Spark can reach.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ class Revision:
     rows: int
     sha256: str
     of: int | None = None  # the revision whose content it repeats
+    data: str = ""  # the folder of its rows
 
 
 class ReferenceTables:
@@ -49,11 +52,11 @@ class ReferenceTables:
         return [t for t in self._children() if self.revisions(t)]
 
     def revisions(self, table: str) -> list[Revision]:
-        numbers = sorted(int(n[1:]) for n in self._children(table) if n.startswith("r") and n[1:].isdigit())
+        numbers = sorted(int(n[1:-5]) for n in self._children(table) if n.startswith("r") and n.endswith(".json") and n[1:-5].isdigit())
         return [self._manifest(table, n) for n in numbers]
 
     def _manifest(self, table: str, number: int) -> Revision:
-        text = self.spark.read.text(f"{self.root}/{table}/r{number}/manifest").first()[0]
+        text = self.spark.read.text(f"{self.root}/{table}/r{number}.json").first()[0]
         return Revision(**json.loads(text))
 
     def latest(self, table: str) -> Revision:
@@ -64,9 +67,9 @@ class ReferenceTables:
 
     def get(self, table: str, number: int | None = None) -> DataFrame:
         number = self.latest(table).number if number is None else number
-        if not self._fs().exists(self._path(table, f"r{number}")):
+        if not self._fs().exists(self._path(table, f"r{number}.json")):
             raise QueryError(f"table {table} has no revision {number}")
-        return self.spark.read.parquet(f"{self.root}/{table}/r{number}/data")
+        return self.spark.read.parquet(f"{self.root}/{table}/{self._manifest(table, number).data}")
 
     # writing
 
@@ -103,19 +106,24 @@ class ReferenceTables:
         return self._publish(table, order.orderBy("_at", *keys).select(*old.columns), keys, expected)
 
     def rollback(self, table: str, to: int, expected: int | None = None) -> Revision:
-        """Publish an older revision's content as the next revision."""
+        """Publish an older revision's content as the next revision; no row is written again."""
         old = self._manifest(table, to) if to in [r.number for r in self.revisions(table)] else None
         if old is None:
             raise QueryError(f"table {table} has no revision {to}")
-        return self._publish(table, self.get(table, to), old.keys, expected, to)
+        found = self.revisions(table)
+        self._expect(table, found, expected)
+        return self._create(Revision(table, found[-1].number + 1, old.keys, old.rows, old.sha256, to, old.data))
 
     def gc(self, table: str, keep: set[int] | None = None) -> list[int]:
         """Delete revisions that are neither the latest nor in use; returns their numbers."""
-        found = [r.number for r in self.revisions(table)]
-        gone = [n for n in found[:-1] if n not in (keep or set())]
-        for n in gone:
-            self._fs().delete(self._path(table, f"r{n}"), True)
-        return gone
+        found = self.revisions(table)
+        gone = [r for r in found[:-1] if r.number not in (keep or set())]
+        used = {r.data for r in found if r not in gone}
+        for r in gone:
+            self._fs().delete(self._path(table, f"r{r.number}.json"), False)
+            if r.data not in used:
+                self._fs().delete(self._path(table, r.data), True)
+        return [r.number for r in gone]
 
     def _check(self, df: DataFrame, keys: list[str]) -> None:
         if not keys or [k for k in keys if k not in df.columns]:
@@ -124,20 +132,30 @@ class ReferenceTables:
         if not bad.isEmpty():
             raise QueryError("keys are unique and not NULL")
 
-    def _publish(self, table: str, df: DataFrame, keys: list[str], expected: int | None, of: int | None = None) -> Revision:
-        found = self.revisions(table)
+    def _expect(self, table: str, found: list[Revision], expected: int | None) -> None:
         now = found[-1].number if found else 0
         if expected is not None and expected != now:
             raise RevisionConflict(f"table {table} is at revision {now}, not {expected}")
-        number, draft = now + 1, f"{self.root}/{table}/_draft-{now + 1}"
-        df.write.mode("overwrite").parquet(f"{draft}/data")
-        data = self.spark.read.parquet(f"{draft}/data")
-        made = Revision(table, number, keys, data.count(), content_hash(data), of)
-        self.spark.range(1).select(F.lit(json.dumps(asdict(made))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{draft}/manifest")
-        # a rename is atomic and fails if somebody else was first
-        fs = self._fs()
-        if fs.exists(self._path(table, f"r{number}")) or not fs.rename(self._path(table, f"_draft-{number}"), self._path(table, f"r{number}")):
-            raise RevisionConflict(f"table {table}: revision {number} was published by another writer")
+
+    def _publish(self, table: str, df: DataFrame, keys: list[str], expected: int | None) -> Revision:
+        found = self.revisions(table)
+        self._expect(table, found, expected)
+        name = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{table}/{name}")
+        data = self.spark.read.parquet(f"{self.root}/{table}/{name}")
+        return self._create(Revision(table, (found[-1].number if found else 0) + 1, keys, data.count(), content_hash(data), None, name))
+
+    def _create(self, made: Revision) -> Revision:
+        """Write the manifest unless it is there: the store's conditional create decides between writers."""
+        fs, path = self._fs(), self._path(made.table, f"r{made.number}.json")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if made.of is None:
+                fs.delete(self._path(made.table, made.data), True)
+            raise RevisionConflict(f"table {made.table}: revision {made.number} was published by another writer") from e
+        out.write(bytearray(json.dumps(asdict(made)).encode()))
+        out.close()
         return made
 
 

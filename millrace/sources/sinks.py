@@ -8,6 +8,7 @@ so a receiver that remembers ids sees each batch once.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -138,18 +139,26 @@ def table(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list[str], time_column: str) -> Column:
-    """Rows as InfluxDB lines: measurement, tags, fields and a time in microseconds."""
-    escape = lambda c: F.regexp_replace(c.cast("string"), r"([,= ])", r"\\$1")
+    """Rows as InfluxDB lines: measurement, tags, fields and a time in microseconds.
+
+    NULL and empty tags, NULL and non-finite fields are left out; a row without any field, or without a time, is NULL.
+    """
+    escape = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), r"[\r\n]+", " "), r"([,= ])", r"\\$1")
+    name = re.sub(r"([,=\\ ])", r"\\\1", re.sub(r"[\r\n]+", " ", measurement)) if measurement else ""
 
     def value(f: str) -> Column:
         c, t = F.col(f"`{f}`"), df.schema[f].dataType
         if isinstance(t, T.StringType):
             return F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+        if isinstance(t, T.FloatType | T.DoubleType):
+            return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c.cast("string"))
         return F.concat(c.cast("string"), F.lit("i")) if isinstance(t, T.IntegralType) else c.cast("string")
 
-    head = F.concat_ws(",", F.lit(measurement), *[F.when(F.col(f"`{t}`").isNotNull(), F.concat(F.lit(f"{t}="), escape(F.col(f"`{t}`")))) for t in tags])
-    body = F.concat_ws(",", *[F.when(F.col(f"`{f}`").isNotNull(), F.concat(F.lit(f"{f}="), value(f))) for f in fields])
-    return F.concat_ws(" ", head, body, F.unix_micros(F.col(f"`{time_column}`").cast("timestamp")).cast("string"))
+    key = lambda x: F.lit(re.sub(r"([,= ])", r"\\\1", x) + "=")
+    head = F.concat_ws(",", F.lit(name), *[F.when(F.col(f"`{t}`").cast("string") != "", F.concat(key(t), escape(F.col(f"`{t}`")))) for t in tags])
+    body = F.concat_ws(",", *[F.concat(key(f), value(f)) for f in fields])
+    at = F.unix_micros(F.col(f"`{time_column}`").cast("timestamp")).cast("string")
+    return F.when((body != "") & at.isNotNull(), F.concat_ws(" ", head, body, at))
 
 
 REDIS = ("SET", "HSET", "XADD", "PUBLISH", "LPUSH", "RPUSH")
@@ -167,6 +176,54 @@ def redis_commands(df: DataFrame, command: str, key: str, template) -> Column:
     return F.concat(head, star, F.substring(quoted, F.lit(2), F.char_length(quoted) - 2), F.lit("]"))
 
 
-def jdbc_upsert(df: DataFrame, url: str, table: str, properties: dict | None = None, mode: str = "append") -> None:
-    """Append (or overwrite) through JDBC, one transaction for each partition."""
-    df.write.jdbc(url, table, mode=mode, properties=properties or {})
+def redis_send(host: str, port: int = 6379, timeout: float = 10.0) -> Callable[[list[str], str], None]:
+    """For ``post``: the commands of ``redis_commands`` over one connection, all sent before the answers are read."""
+
+    def send(docs: list[str], key: str) -> None:
+        from millrace.sources.providers import resp, resp_answer
+
+        import socket
+
+        with socket.create_connection((host, port), timeout) as s:
+            s.sendall(b"".join(resp(json.loads(d)) for d in docs))
+            with s.makefile("rb") as answers:
+                for _ in docs:
+                    resp_answer(answers)
+
+    return send
+
+
+def jdbc_insert(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
+    """Append through JDBC, one transaction for each partition."""
+    df.write.jdbc(url, table, mode="append", properties=properties or {})
+
+
+def jdbc_upsert(df: DataFrame, url: str, table: str, keys: list[str], staging: str, properties: dict | None = None) -> None:
+    """Put rows into a table by key: partitions fill a staging table in parallel, then one MERGE is one transaction.
+
+    A batch that is delivered again changes nothing.  Keys are unique within the batch; ``staging`` is overwritten.
+    """
+    names = df.columns
+    if not keys or [k for k in keys if k not in names] or any(not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", x) for x in (*names, table, staging)):
+        raise QueryError("an upsert has keys among its columns, and plain names")
+    df.write.jdbc(url, staging, mode="overwrite", properties=properties or {})
+    quote = lambda c: '"' + c + '"'
+    on = " AND ".join(f"t.{quote(k)} = s.{quote(k)}" for k in keys)
+    rest = [c for c in names if c not in keys]
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{quote(c)} = s.{quote(c)}' for c in rest)}" if rest else ""
+    merge = f"MERGE INTO {table} t USING {staging} s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({', '.join(map(quote, names))}) VALUES ({', '.join('s.' + quote(c) for c in names)})"
+    jvm = df.sparkSession._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        statement.executeUpdate(merge)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()

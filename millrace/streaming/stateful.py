@@ -2,7 +2,9 @@
 
 A micro-batch's rows of a key are put in order and go through the same fold as
 in batch; deadlines up to each row's clock fire in between.  Deadlines with no
-row behind them fire by timeout, when the clock is Spark's processing time.
+row behind them fire by timeout, when the clock is Spark's processing time.  A key's
+state is removed once its time to live is over: by processing time, or, where the
+clock is a column, by the input's watermark (without one it stays).
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ def run_stream(df: DataFrame, fold: Fold, clock: Column | None, order_by: list[s
     fold.bind(names)
     result = fold.output(df.schema)
     rows = df.withColumn("_now", clock.cast("long") if clock is not None else F.unix_micros(F.current_timestamp()))
+    # with a watermark on the input, state that has outlived its time to live goes when the watermark passes
+    marked = any("spark.watermarkDelayMs" in f.metadata for f in df.schema.fields)
     kinds = [f.dataType for f in df.schema.fields]
     columns = [f.name for f in result.fields]
     decimals = [isinstance(f.dataType, T.DecimalType) for f in result.fields]
@@ -59,7 +63,14 @@ def run_stream(df: DataFrame, fold: Fold, clock: Column | None, order_by: list[s
         held = pickle.loads(bytes(state.get[0])) if state.exists else fold.start(tuple(plain(k, df_kinds[n]) for k, n in zip(key, fold.keys, strict=True)))
         out: list[tuple] = []
         if state.hasTimedOut:
-            out += fold.due(held, state.getCurrentProcessingTimeMs() * 1000)
+            now = state.getCurrentProcessingTimeMs() * 1000 if live else state.getCurrentWatermarkMs() * 1000
+            out += fold.due(held, now) if live else []
+            worthless = fold.worthless(held)
+            if worthless is not None and worthless <= now:
+                state.remove()
+                if out:
+                    yield table(out)
+                return
         else:
             b = pd.concat(list(frames))
             b = b.sort_values(order_by, kind="stable") if order_by else b
@@ -67,12 +78,15 @@ def run_stream(df: DataFrame, fold: Fold, clock: Column | None, order_by: list[s
             for now, r in zip(clocks, b[names].itertuples(index=False, name=None), strict=True):
                 out += fold.step(held, int(now), tuple(plain(v, k) for v, k in zip(r, kinds, strict=True)))
         state.update((pickle.dumps(held),))
-        at = fold.deadline(held)
+        worthless = fold.worthless(held)
+        at = min((x for x in (fold.deadline(held), worthless) if x is not None), default=None)
         if live and at is not None:
             state.setTimeoutDuration(max(1, at // 1000 - state.getCurrentProcessingTimeMs() + 1))
+        elif marked and worthless is not None:
+            state.setTimeoutTimestamp(max(worthless // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield table(out)
 
     df_kinds = {f.name: f.dataType for f in df.schema.fields}
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.EventTimeTimeout if marked else GroupStateTimeout.NoTimeout
     return rows.groupBy(*fold.keys).applyInPandasWithState(step, result, STATE, output_mode, timeout)

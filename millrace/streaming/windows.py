@@ -51,21 +51,37 @@ def interval_join_stream(left: DataFrame, right: DataFrame, keys: list[tuple[str
 class LateSplitter:
     """Late rows of a stream, told apart batch by batch (for ``foreachBatch``).
 
-    A row is late if all its windows had ended by the watermark that earlier batches left behind.  The mark is the
-    largest event time so far less both delays; it is kept in ``state`` so that a restart goes on from a stored value.
+    A row is late if all its windows had ended by the watermark that earlier batches left behind: the largest event time so
+    far less both delays.  Marks are kept by batch id, in ``folder`` (any file system that Spark reaches) or in memory, so a
+    batch that is tried again, in this process or after a restart, is judged by the mark it was judged by before.
     """
 
-    def __init__(self, time: str, size: int, slide: int | None = None, out_of_orderness: int = 0, lateness: int = 0, state: dict | None = None):
+    def __init__(self, time: str, size: int, slide: int | None = None, out_of_orderness: int = 0, lateness: int = 0, folder: str | None = None):
         self.time, self.size, self.slide = time, size, slide or size
-        self.behind, self.state = out_of_orderness + lateness, state if state is not None else {"top": None}
-
-    def split(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows in time, late rows); advances the mark by this batch."""
+        self.behind, self.folder = out_of_orderness + lateness, folder.rstrip("/") if folder else None
+        self.marks: dict[int, tuple[int | None, int | None]] = {}  # batch id: largest event time before it and after it
+
+    def _load(self, batch: DataFrame) -> None:
+        if self.folder and not self.marks:
+            spark = batch.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                for r in spark.read.parquet(self.folder).collect():
+                    self.marks[r["batch"]] = (r["before"], r["after"])
+
+    def split(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """(rows in time, late rows) of a batch."""
+        self._load(batch)
         t = F.unix_micros(F.col(f"`{self.time}`"))
         end = t - F.pmod(t, F.lit(self.slide)) + self.size
-        top = self.state["top"]
-        late = F.lit(False) if top is None else end <= max(0, top - self.behind)
-        best = batch.agg(F.max(t)).first()[0]
-        if best is not None:
-            self.state["top"] = best if top is None else max(top, best)
+        if batch_id not in self.marks:
+            earlier = [m for n, (_, m) in self.marks.items() if n < batch_id and m is not None]
+            top, best = max(earlier, default=None), batch.agg(F.max(t)).first()[0]
+            after = top if best is None else best if top is None else max(top, best)
+            self.marks[batch_id] = (top, after)
+            if self.folder:
+                made = batch.sparkSession.createDataFrame([(batch_id, top, after)], "batch long, before long, after long")
+                made.coalesce(1).write.mode("append").parquet(self.folder)
+        top, _ = self.marks[batch_id]
+        late = F.coalesce(end <= max(0, top - self.behind), F.lit(False)) if top is not None else F.lit(False)
         return batch.filter(~late), batch.filter(late)

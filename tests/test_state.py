@@ -29,9 +29,12 @@ def test_change_ignores_invalid_rows(spark):
 
 
 def test_deadband_moves_its_baseline_on_output(spark):
-    df = frame(spark, [("a", i, x) for i, x in enumerate([20.0, 20.4, 20.9, 21.6, 21.7])])
-    assert values(state.deadband(df, ["k"], "x", 1.0, ["n"]), "x") == [20.0, 21.6]
-    assert values(state.deadband(df, ["k"], "x", 0.6, ["n"], baseline="last_input"), "x") == [20.0, 21.6]
+    # a move of exactly the threshold stays inside, small steps add up against the last output alone
+    df = frame(spark, [("a", i, x) for i, x in enumerate([-4.0, -2.0, 0.5, 2.5, 2.75, -9.0])])
+    assert values(state.deadband(df, ["k"], "x", 2.0, ["n"]), "x") == [-4.0, 0.5, 2.75, -9.0]
+    assert values(state.deadband(df, ["k"], "x", 2.0, ["n"], baseline="last_input"), "x") == [-4.0, 0.5, -9.0]
+    odd = frame(spark, [("a", 0, 5.0), ("a", 1, float("nan")), ("a", 2, 6.0), ("a", 3, 8.5)])
+    assert values(state.deadband(odd, ["k"], "x", 2.0, ["n"], baseline="last_input", invalid="ignore"), "x") == [5.0, 8.5]
     zero = frame(spark, [("a", i, x) for i, x in enumerate([0.0, 0.0, 1.0, 1.4, 1.6])])
     for base in ("last_input", "last_output"):
         assert values(state.deadband(zero, ["k"], "x", 0.5, ["n"], relative=True, baseline=base), "x")[:2] == [0.0, 1.0]
@@ -40,8 +43,10 @@ def test_deadband_moves_its_baseline_on_output(spark):
 
 
 def test_hysteresis_latches_at_its_thresholds(spark):
-    df = frame(spark, [("a", 0, x) for x in [57.0, 60.0, 59.0, 56.0, 55.0, 56.0, 60.0, 60.0, 54.0]])
-    assert values(state.hysteresis(df, ["k"], "x", 60, 55, ["n"]), "x") == [57.0, 60.0, 55.0, 60.0, 54.0]
+    # equality at both thresholds, jumps over the whole band, values inside it
+    df = frame(spark, [("a", 0, x) for x in [-1.0, 7.0, 3.0, 8.0, 2.0, 2.5, 6.9, 100.0, -100.0, 7.0]])
+    assert values(state.hysteresis(df, ["k"], "x", 7, 2, ["n"]), "x") == [-1.0, 7.0, 2.0, 100.0, -100.0, 7.0]
+    assert values(state.hysteresis(df, ["k"], "x", 2, 7, ["n"], high=False), "x") == [-1.0, 7.0, 2.0, 100.0, -100.0, 7.0]
     with pytest.raises(QueryError):
         state.hysteresis(df, ["k"], "x", 50, 55, ["n"])
 
@@ -218,3 +223,31 @@ def test_the_engine_runs_queries_on_streams(spark, tmp_path):
     e.register_stream("still", df, ["n"])
     with pytest.raises(QueryError):
         e.start("x", "SELECT k FROM still", None, str(tmp_path / "ck3"))
+
+
+def test_ttl_operators_are_window_functions(spark, capsys):
+    """The clock of the valid row before decides, and runs over invalid rows too; no row goes through Python."""
+    df = frame(spark, [("a", 0, 1.0), ("a", 4, 1.0), ("a", 8, None), ("a", 9, 1.0), ("a", 12, 1.0), ("a", 3, 1.0), ("a", 17, 1.0)])
+    out = state.change_detect(df, ["k"], ["x"], ["n"], invalid="ignore", ttl=5, clock="t")
+    assert values(out, "t") == [0, 9, 17]
+    out.explain()
+    assert "Python" not in capsys.readouterr().out and "Arrow" not in capsys.readouterr().out
+
+
+def test_state_of_streams_goes_when_its_time_to_live_is_over(spark, tmp_path):
+    """With a watermark, keys that have outlived their time leave the state store, and come back as new ones."""
+    from pyspark.sql import functions as F
+
+    shape = "n long, k string, t long"
+    src = tmp_path / "in"
+    batches = [[(0, "a", 1_000_000), (1, "b", 2_000_000)], [(2, "c", 60_000_000)], [(3, "d", 120_000_000)], [(4, "a", 121_000_000)], [(5, "e", 240_000_000)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
+    timed = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "0 seconds")
+    out = state.deduplicate(timed, ["k"], 10_000_000, ["n"], "t")
+    q = out.writeStream.format("memory").queryName("dedup_ttl_state").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in (x if isinstance(x, dict) else x.jsonValue for x in q.recentProgress) if p["stateOperators"]]
+    assert sorted(r["n"] for r in spark.table("dedup_ttl_state").collect()) == [0, 1, 2, 3, 4, 5]
+    assert kept and max(kept) < 5 and kept[-1] <= 2
