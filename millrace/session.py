@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,13 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._millrace_shipped = True
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a local one only where all runs on one machine)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import millrace.plans.io_queries  # noqa: F401  (registers queries)
 from millrace.plans.queries import ORACLE, QUERIES
 
 
