@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, packing, quality, secrets
-from millrace.llm._tables import written
+from millrace.llm._tables import discarded, written
 from millrace.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -71,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages; a stage's table is deleted once its successor's is written."""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{i}")
+            discarded(*before)
+            before = [docs]
     return docs
