@@ -154,7 +154,10 @@ class Inbox:
         if self.file is not None:
             name = self.file.name
             self.file.close()
-            os.rename(name, f"{self.folder}/sealed-{self.count}-{os.path.basename(name).removeprefix('.open-')}")
+            try:
+                os.rename(name, f"{self.folder}/sealed-{self.count}-{os.path.basename(name).removeprefix('.open-')}")
+            except FileNotFoundError:
+                pass  # another process has taken the segment over, with all its records
             self.file, self.count = None, 0
 
     def stream(self, spark: SparkSession, keep: bool = False) -> DataFrame:
