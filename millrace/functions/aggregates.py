@@ -63,8 +63,36 @@ def build(fn: str, x: Typed | None, order: Column | None = None, over: WindowSpe
     return at({"var_pop": F.var_pop, "var_samp": F.var_samp, "stddev_pop": F.stddev_pop, "stddev_samp": F.stddev_samp}[name](c))
 
 
-def all_of(aggs: list[dict], schema: T.StructType, order: Column | None = None, over: WindowSpec | None = None) -> list[Column]:
-    """Columns for graph-style aggregates {fn, expr?, alias}."""
+def over_both(fn: str, x: Typed | None, order: Column, earlier: WindowSpec, later: WindowSpec) -> Column:
+    """An aggregate over the rows of two frames, of which all of ``earlier`` come before those of ``later``."""
+    name = name_of(fn)
+    if name in ("count", "min", "max", "first", "last"):
+        a, b = (build(fn, x, order, w) for w in (earlier, later))
+        if name == "count":
+            return a + b
+        if name in ("min", "max"):
+            return (F.least if name == "min" else F.greatest)(a, b)
+        return F.coalesce(a, b) if name == "first" else F.coalesce(b, a)
+    if name == "sum":
+        a, b = (build(fn, x, order, w) for w in (earlier, later))
+        total = F.coalesce(a + b, a, b)
+        return guarded(total <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)"), total, "SUM: uint64 overflow").cast(UINT64) if is_uint(x.type) else total
+    number = Typed(x.col.cast("double"), T.DoubleType()) if is_numeric(x.type) else x
+    na, nb, sa, sb = (build(f, number, order, w) for f in ("count", "sum") for w in (earlier, later))
+    n = (na + nb).cast("double")
+    if name == "avg":
+        return F.coalesce(sa + sb, sa, sb) / F.when(n > 0, n)
+    # squares about either mean, and what lies between the means
+    va, vb = (F.coalesce(build("var_pop", x, order, w), F.lit(0.0)) for w in (earlier, later))
+    apart = sa / F.when(na > 0, na) - sb / F.when(nb > 0, nb)
+    squares = va * na + vb * nb + F.coalesce(apart * apart * na * nb / F.when(n > 0, n), F.lit(0.0))
+    spare = 1 if name.endswith("samp") else 0
+    var = squares / F.when(n > spare, n - spare)
+    return F.sqrt(var) if name.startswith("stddev") else var
+
+
+def all_of(aggs: list[dict], schema: T.StructType, order: Column | None = None, over: WindowSpec | None = None, after: WindowSpec | None = None) -> list[Column]:
+    """Columns for graph-style aggregates {fn, expr?, alias}; over two frames with ``after``."""
     if not aggs:
         raise QueryError("a window needs an aggregate")
     out = []
@@ -72,7 +100,8 @@ def all_of(aggs: list[dict], schema: T.StructType, order: Column | None = None,
         if extra := set(a) - {"fn", "expr", "alias"}:
             raise QueryError(f"aggregate: unknown field {min(extra)}")
         x = compile_expr(a["expr"], schema) if a.get("expr") else None
-        out.append(build(a["fn"], x, order, over).alias(a["alias"]))
+        made = build(a["fn"], x, order, over) if after is None else over_both(a["fn"], x, order, over, after)
+        out.append(made.alias(a["alias"]))
     return out
 
 

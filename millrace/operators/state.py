@@ -28,16 +28,36 @@ def checked_keys(df: DataFrame, keys: list[str]) -> None:
             raise QueryError(f"key {k} is a float")
 
 
-def _valid(df: DataFrame, fields: list[str], invalid: str) -> DataFrame:
-    """Rows whose fields are all there and finite; others are skipped or an error."""
-    if invalid not in ("error", "ignore"):
-        raise QueryError("invalid is error or ignore")
+def _finite(df: DataFrame, fields: list[str]) -> Column:
+    """Whether all fields of a row are there and finite."""
 
     def good(f):
         c = F.col(f"`{f}`")
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) if is_float(df.schema[f].dataType) else c.isNotNull()
 
-    ok = F.coalesce(reduce(lambda a, b: a & b, [good(f) for f in fields]), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a & b, [good(f) for f in fields], F.lit(True)), F.lit(False))
+
+
+def bounded(df: DataFrame, keys: list[str], fields: list[str], max_keys: int, invalid: str = "error") -> DataFrame:
+    """A finite table as it is, or an error where valid rows have more keys than ``max_keys``: state that is never forgotten.
+
+    One subquery counts the distinct keys, no further than the first beyond the limit.
+    """
+    checked_keys(df, keys)
+    if df.isStreaming:
+        return df
+    if max_keys < 0:
+        raise QueryError("max_keys is positive")
+    rows = df.filter(_finite(df, fields)) if invalid == "ignore" else df
+    found = rows.select(*[F.col(f"`{k}`") for k in keys]).distinct().limit(max_keys + 1).agg(F.count("*")).scalar()
+    return df.filter(F.when(found <= max_keys, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {max_keys} keys"))))
+
+
+def _valid(df: DataFrame, fields: list[str], invalid: str) -> DataFrame:
+    """Rows whose fields are all there and finite; others are skipped or an error."""
+    if invalid not in ("error", "ignore"):
+        raise QueryError("invalid is error or ignore")
+    ok = _finite(df, fields)
     if invalid == "ignore":
         return df.filter(ok)
     return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"NULL or non-finite value in {', '.join(fields)}"))))

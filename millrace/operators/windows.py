@@ -118,7 +118,7 @@ def aggregate(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict]
         starts = timed.withColumn("window_start", F.explode(F.filter(starts, lambda s: s + spec.size > F.col("_t"))))
         return _grid(starts, spec.size, key, aggs, order)
     if kind == "sliding_pt" and spec.delay == 0:
-        return _prefix(timed, spec, keys, aggs, arrival)
+        return _prefix(timed, spec, key, aggs, arrival)
     if kind in ("sliding_et", "sliding_pt"):
         frame = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(spec.size - 1), spec.delay)
         start, end = F.col("_t") - (spec.size - 1), F.col("_t") + (spec.delay + 1)
@@ -166,10 +166,12 @@ def _folded(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict])
     return [x.col.alias(f"_v{i}") for i, x in enumerate(typed) if x], fold
 
 
-def _prefix(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict], arrival: list[Column]) -> DataFrame:
-    values, fold = _folded(df, spec, keys, aggs)
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], "_t", *values, *[c.alias(f"_a{i}") for i, c in enumerate(arrival)])
-    return folds.run(rows, fold, F.col("_t"), [F.col(f"_a{i}") for i in range(len(arrival))])
+def _prefix(df: DataFrame, spec: WindowSpec, key: list[Column], aggs: list[dict], arrival: list[Column]) -> DataFrame:
+    """The rows of the last ``size`` microseconds up to each one: those of earlier clocks, and those that arrived before it at its own."""
+    earlier = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(spec.size - 1), -1)
+    later = Window.partitionBy(*key, "_t").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)
+    made = aggregates.all_of(aggs, df.schema, F.struct(*arrival), earlier, later)
+    return df.select(*key, (F.col("_t") - (spec.size - 1)).alias("window_start"), (F.col("_t") + 1).alias("window_end"), *made)
 
 
 def _streamed(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[dict], time: str | None, order_by: list[str]) -> DataFrame:
@@ -205,7 +207,10 @@ def _sessions(df: DataFrame, spec: WindowSpec, keys: list[str], key: list[Column
     """
     if not arrival:
         raise QueryError("SESSION needs an arrival order")
-    arrived = df.withColumn("_a", F.struct(*arrival))
+    # what the aggregates read, and no other column, goes through windows and fold
+    typed = [compile_expr(a["expr"], df.schema) if a.get("expr") else None for a in aggs]
+    arrived = df.select(*key, "_t", F.struct(*arrival).alias("_a"), *[x.col.alias(f"_v{i}") for i, x in enumerate(typed) if x])
+    aggs = [{**a, "expr": {"k": "col", "name": f"_v{i}"}} if x else a for i, (a, x) in enumerate(zip(aggs, typed, strict=True))]
     by = Window.partitionBy(*key).orderBy("_t", "_a")
     opens = F.coalesce(F.col("_t") - F.lag("_t").over(by) >= spec.gap, F.lit(True))
     ids = arrived.withColumn("_opens", F.when(opens, F.col("_t")))
@@ -215,7 +220,7 @@ def _sessions(df: DataFrame, spec: WindowSpec, keys: list[str], key: list[Column
     long = folds.run(ids.filter(~inside), folds.SessionBounds(keys=[*keys, "_first"], gap=spec.gap, longest=spec.max_duration), F.col("_t"), [F.col("_t"), F.col("_a")])
     rows = short.unionByName(long)
     names = [F.col(f"`{a['alias']}`") for a in aggs]
-    made = rows.groupBy(*key, "session_start").agg(F.max("session_reach").alias("_end"), *aggregates.all_of(aggs, df.schema, F.struct("_t", "_a")))
+    made = rows.groupBy(*key, "session_start").agg(F.max("session_reach").alias("_end"), *aggregates.all_of(aggs, arrived.schema, F.struct("_t", "_a")))
     return made.select(*key, F.col("session_start").alias("window_start"), F.col("_end").alias("window_end"), *names)
 
 

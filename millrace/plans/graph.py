@@ -276,30 +276,31 @@ def _state(node: dict, port: Port) -> DataFrame:
         raise QueryError(f"{kind} needs a clock")
     common = {"emit_first": iot.get("emit_first", True), "invalid": invalid}
     ttl = {"ttl": iot.get("ttl_micros", 0), "clock": clock}
+    df = state.bounded(port.df, keys, fields, iot["max_keys"], invalid) if iot.get("max_keys") and not ttl["ttl"] else port.df
     if kind == "change_detect":
-        return state.change_detect(port.df, keys, fields, order, **common, **ttl)
+        return state.change_detect(df, keys, fields, order, **common, **ttl)
     if kind == "deadband":
-        return state.deadband(port.df, keys, fields[0], iot["threshold"], order, relative=iot.get("mode", "absolute") == "relative", baseline=iot.get("baseline", "last_output"), **common, **ttl)
+        return state.deadband(df, keys, fields[0], iot["threshold"], order, relative=iot.get("mode", "absolute") == "relative", baseline=iot.get("baseline", "last_output"), **common, **ttl)
     if kind == "hysteresis":
-        return state.hysteresis(port.df, keys, fields[0], iot["enter"], iot["exit"], order, high=iot.get("direction", iot.get("mode", "high")) == "high", **common)
+        return state.hysteresis(df, keys, fields[0], iot["enter"], iot["exit"], order, high=iot.get("direction", iot.get("mode", "high")) == "high", **common)
     if kind == "hold_for":
-        return state.hold_for(port.df, keys, fields[0], timing["duration_micros"], order, clock, invalid)
+        return state.hold_for(df, keys, fields[0], timing["duration_micros"], order, clock, invalid)
     if kind == "debounce":
-        return state.debounce(port.df, keys, fields, timing["quiet_micros"], timing["max_wait_micros"], order, clock, timing.get("leading", False), timing.get("trailing", True), timing.get("reset_on_repeat", True), invalid)
+        return state.debounce(df, keys, fields, timing["quiet_micros"], timing["max_wait_micros"], order, clock, timing.get("leading", False), timing.get("trailing", True), timing.get("reset_on_repeat", True), invalid)
     if kind == "alarm":
         if len(fields) != 2:
             raise QueryError("alarm: the fields are enter and clear")
-        return state.alarm(port.df, keys, *fields, order, clock, timing["activate_micros"], timing["resolve_micros"], timing["cooldown_micros"], timing["notification_max_age_micros"], invalid, operator=node["id"])
+        return state.alarm(df, keys, *fields, order, clock, timing["activate_micros"], timing["resolve_micros"], timing["cooldown_micros"], timing["notification_max_age_micros"], invalid, operator=node["id"])
     if kind == "silence":
         registered = [tuple(k) for k in timing.get("registered_keys", [])]
-        return state.silence(port.df, keys, timing["duration_micros"], order, clock, registered=registered or None, max_observation_gap=timing.get("max_observation_gap_micros"), operator=node["id"])
-    return state.resample(port.df, keys, fields, timing["period_micros"], order, clock, timing.get("mode", "last"), timing.get("max_wait_micros", 0), timing.get("max_gap_micros", 0), invalid, operator=node["id"])
+        return state.silence(df, keys, timing["duration_micros"], order, clock, registered=registered or None, max_observation_gap=timing.get("max_observation_gap_micros"), operator=node["id"])
+    return state.resample(df, keys, fields, timing["period_micros"], order, clock, timing.get("mode", "last"), timing.get("max_wait_micros", 0), timing.get("max_gap_micros", 0), invalid, operator=node["id"])
 
 
 def _join(node: dict, inputs: list[Port]) -> DataFrame:
     j = node.get("stream_join") or {}
-    only("stream_join", j, {"left_input", "right_input", "left_keys", "right_keys", "left_time", "right_time", "mode", "before_micros", "after_micros", "window_size_micros", "left_prefix", "right_prefix", "max_rows_per_side", "max_matches", "max_output_bytes"})
-    if (node["kind"] == "window_join") != ("window_size_micros" in j):
+    only("stream_join", j, {"left_input", "right_input", "left_keys", "right_keys", "left_time", "right_time", "mode", "before_micros", "after_micros", "window_size_micros", "left_prefix", "right_prefix", "max_rows_per_side", "max_matches_per_row", "max_output_bytes_per_row"})
+    if (node["kind"] == "window_join") != (j.get("window_size_micros") is not None):
         raise QueryError("window_join has a window size, interval_join has bounds")
     left, right = inputs
     if j.get("left_input", 0) > j.get("right_input", 1):
@@ -309,4 +310,4 @@ def _join(node: dict, inputs: list[Port]) -> DataFrame:
     tail = {"mode": j.get("mode", "inner"), "orders": (left.order_by, right.order_by), "prefixes": (j.get("left_prefix", "left_"), j.get("right_prefix", "right_"))}
     if node["kind"] == "window_join":
         return joins.window_join(*common, j["window_size_micros"], **tail)
-    return joins.interval_join(*common, j.get("before_micros", 0), j.get("after_micros", 0), **tail)
+    return joins.interval_join(*common, j.get("before_micros") or 0, j.get("after_micros") or 0, **tail)

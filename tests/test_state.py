@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.errors import QueryError
+from millrace.functions import aggregates
 from millrace.operators import folds, state, windows
 from millrace.streaming.stateful import run_stream
 
@@ -129,6 +130,35 @@ def test_sliding_prefix_leaves_later_rows_of_the_same_time_out(spark):
     assert sorted((r["window_end"], r["s"]) for r in out.collect()) == [(2, 1.0), (6, 3.0), (6, 7.0), (12, 14.0)]
 
 
+def test_sliding_frames_equal_the_fold(spark):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), r.randrange(40), r.choice([None, float("nan"), *[round(r.uniform(-9, 9), 2) for _ in range(8)]]), r.randrange(-5, 5)) for _ in range(160)]
+    df = frame(spark, rows, "x double, y int")
+    x, y = {"k": "col", "name": "x"}, {"k": "col", "name": "y"}
+    aggs = [{"fn": "count", "alias": "n"}, *[{"fn": f, "expr": x, "alias": f"{f}x"} for f in ("count", "min", "max", "first", "last")], *[{"fn": f, "expr": y, "alias": f"{f}y"} for f in aggregates.NAMES]]
+    spec = windows.WindowSpec("sliding_pt", size=7)
+    got = windows.aggregate(df, spec, ["k"], aggs, "t", ["n"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    values, fold = windows._folded(df, spec, ["k"], aggs)
+    folded = folds.run(df.select("k", *values, "t", "n"), fold, F.col("t"), [F.col("n")])
+    assert got.columns == folded.columns
+
+    def told(df):
+        return sorted([tuple("-" if v is None else "nan" if v != v else round(v, 6) + 0.0 if isinstance(v, float) else v for v in row) for row in df.collect()], key=str)
+
+    assert told(got) == told(folded) and len(told(got)) == len(rows)
+
+
+def test_more_keys_than_allowed_are_an_error(spark):
+    df = frame(spark, [("a", 0, 1.0), ("b", 0, 2.0), ("c", 0, None), ("a", 1, 3.0)])
+    assert state.bounded(df, ["k"], ["x"], 3).count() == 4 and state.bounded(df, ["k"], ["x"], 2, "ignore").count() == 4
+    for most, invalid in ((2, "error"), (1, "ignore")):
+        with pytest.raises(Exception, match=f"more than {most} keys"):
+            state.bounded(df, ["k"], ["x"], most, invalid).collect()
+    assert state.bounded(df.limit(0), ["k"], ["x"], 1).count() == 0
+
+
 def test_aggregates_skip_null_and_nan(spark):
     df = frame(spark, [("a", 0, None), ("a", 1, float("nan")), ("a", 2, 3.0), ("a", 3, 1.0)])
     x = {"k": "col", "name": "x"}
