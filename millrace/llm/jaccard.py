@@ -48,6 +48,8 @@ SKETCH, DEVIATIONS = 128, 5.5
 BUCKET, ALIKE, DEPTH = 512, 0.4, 10
 #: Likely pairs to a member that leave a leaf as rows, and members up to which leaves are searched together.
 PAIRS, FEW = 8, 16
+#: A key with more than one of so many rows is hot; there are no more hot keys than that.
+HOT = 1024
 _ORDERS = np.random.default_rng(20_240_101)
 _ODD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _ADD32 = _ORDERS.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
@@ -235,6 +237,19 @@ def _verified(batches, least: float):
             yield pd.DataFrame({"a": [sid[x] for x in some], "b": [sid[label[x]] for x in some], "links": (link[some] @ copies).astype("int64")})
 
 
+def _beside(rows: DataFrame, told: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``told``(*by, n, ...), where n is the number of a key's rows.
+
+    A shuffle would bring all rows of a key to one task.  Keys with more than a ``HOT``-th of the rows, so no more than
+    ``HOT`` keys, are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    total = told.agg(F.sum("n")).first()[0] or 0
+    hot = told.filter(F.col("n") * HOT > total).select(*by)
+    of_hot = rows.join(F.broadcast(told.filter(F.col("n") * HOT > total)), by)
+    of_others = rows.join(F.broadcast(hot), by, "left_anti").join(told.filter(F.col("n") * HOT <= total), by)
+    return of_hot.unionByName(of_others)
+
+
 def _leaves(nodes: DataFrame, orders: int, report: list | None) -> tuple[DataFrame, list[DataFrame]]:
     """(leaf, sid, n) of every leaf with more than one member, n above BUCKET where it is alike; and the tables to delete later.
 
@@ -242,8 +257,9 @@ def _leaves(nodes: DataFrame, orders: int, report: list | None) -> tuple[DataFra
     agree on them and no two runs share them.
     """
     met = nodes.select(F.explode("keys").alias("leaf"), "sid")
-    counts = met.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    level = written(met.join(counts, "leaf").select("leaf", "sid", "n"), "buckets")
+    counts = written(met.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "sizes")
+    level = written(_beside(met, counts, ["leaf"]).select("leaf", "sid", "n"), "buckets")
+    discarded(counts)
     spent, out, depth = [level], [level.filter(F.col("n") <= BUCKET)], 0
     large = level.filter(F.col("n") > BUCKET)
     first, stride = F.xxhash64("leaf", F.lit(1)), F.xxhash64("leaf", F.lit(2))
@@ -252,16 +268,17 @@ def _leaves(nodes: DataFrame, orders: int, report: list | None) -> tuple[DataFra
     while not large.isEmpty():
         children = large.join(nodes.select("sid", "sketch"), "sid").select("leaf", "sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), child)).alias("c"))
         children = written(children.select(F.col("leaf").alias("parent"), "sid", "c.nth", F.col("c.child").alias("leaf")), "children")
-        sizes = children.groupBy("parent", "nth", "leaf").agg(F.count("*").alias("n"))
-        sums = sizes.groupBy("parent", "nth").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.sum("n").cast("double").alias("all"))
-        spread = written(sums.groupBy("parent").agg(((F.sum("same") / F.sum(F.col("all") * F.col("all")) >= ALIKE) | F.lit(depth >= DEPTH)).alias("stop")), "spread")
-        alike = large.join(spread.filter("stop").select(F.col("parent").alias("leaf")), "leaf").select("leaf", "sid", "n")
-        split = children.join(spread.filter(~F.col("stop")).select("parent"), "parent")
-        level = written(split.join(sizes.filter(F.col("n") > 1), ["parent", "nth", "leaf"]).select("leaf", "sid", "n"), "buckets")
+        sizes = written(children.groupBy("parent", "nth", "leaf").agg(F.count("*").alias("n")), "sizes")
+        sums = sizes.groupBy("parent", "nth").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.sum("n").alias("all"))
+        square = F.col("all").cast("double") * F.col("all")
+        spread = written(sums.groupBy("parent").agg(((F.sum("same") / F.sum(square) >= ALIKE) | F.lit(depth >= DEPTH)).alias("stop"), F.max("all").alias("n")), "spread")
+        alike = _beside(large.drop("n"), spread.filter("stop").select(F.col("parent").alias("leaf"), "n"), ["leaf"]).select("leaf", "sid", "n")
+        known = written(sizes.join(spread.filter(~F.col("stop")).select("parent"), "parent").filter(F.col("n") > 1), "known")
+        level = written(_beside(children, known, ["parent", "nth", "leaf"]).select("leaf", "sid", "n"), "buckets")
         if report is not None:
             report.append((large.count(), alike.count(), level.count()))
         out += [alike, level.filter(F.col("n") <= BUCKET)]
-        discarded(children)
+        discarded(children, sizes, known)
         spent += [level, spread]
         large, depth = level.filter(F.col("n") > BUCKET), depth + 1
     leaves = out[0]

@@ -387,7 +387,7 @@ def near_texts():
     return [*out, "", None, "a", "a", "a b c", "A b, c!", *[" ".join(base)] * 3]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 24, "DEPTH": 3}, {"BUCKET": 10, "ALIKE": 1.1, "PAIRS": 2, "FEW": 3, "DEPTH": 2}, {"BUCKET": 16, "ALIKE": 0.0, "PAIRS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 24, "DEPTH": 3, "HOT": 8}, {"BUCKET": 10, "ALIKE": 1.1, "HOT": 1, "PAIRS": 2, "FEW": 3, "DEPTH": 2}, {"BUCKET": 16, "ALIKE": 0.0, "PAIRS": 0}])
 def test_join_equals_brute_force(spark, limits, monkeypatch):
     """With the limits of production, and with such low ones that buckets are split, dealt in blocks, and verified as a whole."""
     from pyspark import cloudpickle
