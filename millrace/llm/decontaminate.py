@@ -272,23 +272,26 @@ def indexes(items: DataFrame, reach: float = REACH, shard_items: int = SHARD_ITE
     n, total, longest = rows.agg(F.count("*"), F.sum("size"), F.max("size")).first()
     df = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     known = rows.select("nth", F.explode("words").alias("word")).join(df, "word").groupBy("nth").agg(F.collect_list(F.struct("word", "df")).alias("dfs"))
-    ready = written(rows.drop("words").join(known, "nth", "left").orderBy(F.col("item_id").cast(kind), "text", "nth"), "item-words")
-    shard: list = []
+    ready = rows.drop("words").join(known, "nth", "left").orderBy(F.col("item_id").cast(kind), "text", "nth")
+    ready = written(ready.withColumn("nth", F.monotonically_increasing_id()), "item-words")
+    # a row's number is its partition of the sort and its place there, so the partitions' sizes tell where an index begins
+    sizes = sorted((r["part"], r["count"]) for r in ready.groupBy(F.shiftright("nth", 33).alias("part")).count().collect())
+    ends = np.cumsum([size for _, size in sizes], dtype=np.int64)
 
-    def built() -> Bm25Index:
+    def number(at: int) -> int:
+        i = int(np.searchsorted(ends, at, "right"))
+        return (sizes[i][0] << 33) + at - int(ends[i]) + sizes[i][1]
+
+    def built(shard: list) -> Bm25Index:
         words = {w: c for r in shard for w, c in r["dfs"] or ()}
         vocab = np.array(list(words), dtype=np.int64).view(np.uint64)
         order = np.argsort(vocab)
         of = Statistics(n, vocab[order], np.array(list(words.values()), dtype=np.int64)[order], total / n, longest)
         return Bm25Index.build([(r["item_id"], r["text"], r["question"], r["answer"]) for r in shard], reach, of)
 
-    for row in ready.orderBy(F.col("item_id").cast(kind), "text", "nth").toLocalIterator():
-        shard.append(row)
-        if len(shard) == shard_items:
-            yield built()
-            shard = []
-    if shard:
-        yield built()
+    # one job for an index: an iterator over partitions is a job for each, and what jobs leave behind fills the driver
+    for low, high in itertools.pairwise([*(number(at) for at in range(0, n, shard_items)), 1 << 62]):
+        yield built(sorted(ready.filter((F.col("nth") >= low) & (F.col("nth") < high)).collect(), key=lambda r: r["nth"]))
     discarded(rows, ready)
 
 

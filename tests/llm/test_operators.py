@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -626,6 +627,36 @@ def test_results_do_not_depend_on_the_indexes_that_hold_items(spark):
     assert np.allclose([x[2] for x in found[0]], [x[2] for x in found[1]])
 
 
+def test_jobs_for_an_index_do_not_grow_with_partitions(spark):
+    r = random.Random(23)
+    ids = [*range(40), 7, 7, None]
+    df = spark.createDataFrame([(i, " ".join(r.choices(WORDS, k=20))) for i in r.sample(ids, len(ids))], "item_id long, text string").repartition(6)
+    order = sorted(ids, key=lambda i: (i is not None, i))
+
+    def last_job():
+        spark.sparkContext.setJobGroup(group := f"{r.random()}", "")
+        spark.range(1).collect()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    jobs, kept = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            began = last_job()
+            (whole,) = decontaminate.indexes(df)
+            jobs.append(last_job() - began)
+            assert Counter(whole.ids) == Counter(i if i is None else str(i) for i in ids)
+            for shard in (9, 43):
+                parts = list(decontaminate.indexes(df, shard_items=shard))
+                assert [Counter(x.ids) for x in parts] == [Counter(i if i is None else str(i) for i in order[at : at + shard]) for at in range(0, len(ids), shard)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
 # 10 quality
 
 
